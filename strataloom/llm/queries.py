@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
-from . import secrets
+from ..sources.tables import bare, latest, table
+from . import leaks, mixing, secrets, splitting
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,5 +28,64 @@ def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("literals"), F.countDistinct("doc_id").alias("files"), F.countDistinct("fingerprint").alias("secrets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_kinds": p1_kinds}
-ORACLE: dict[str, str] = {}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked(_documents(spark, folder), table(spark, folder, "eval_items"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item with the number of documents that hold it."""
+    counts = p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return table(spark, folder, "eval_items").select("item_id", "suite").join(counts, "item_id", "left").select("item_id", "suite", F.coalesce("n_documents", F.lit(0)).cast("bigint").alias("n_documents"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents with their numbers of copies."""
+    return mixing.mix(_documents(spark, folder), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return mixing.mix(_documents(spark, folder), table(spark, folder, "mix_targets"))[1]
+
+
+def with_language(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """The documents' columns with ``language``, that of the valid row of their artifact (null if none).
+
+    Only keys and languages of the artifacts are moved; each key is unique on
+    both sides, so no group is large.
+    """
+    known = table(spark, folder, "artifacts").select(bare("snapshot_id").alias("_s"), bare("artifact_id").alias("_a"), "received_at", "language").where(F.col("_s").isNotNull() & F.col("_a").isNotNull())
+    known = latest(known, ["_s", "_a"], ["received_at"], ["language"])
+    docs = _documents(spark, folder).select(bare("snapshot_id").alias("_s"), bare("artifact_id").alias("_a"), *columns)
+    return docs.join(known.hint("shuffle_hash"), ["_s", "_a"], "left").drop("_s", "_a")
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all documents over their language's limit."""
+    return splitting.pieces(with_language(spark, folder, ["doc_id", "text"]), table(spark, folder, "split_limits"), lang="language")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
+    "p1_kinds": p1_kinds,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_pieces": p9_pieces,
+}
+
+_LEAKS_SQL = """
+WITH doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+sized AS (SELECT item_id, w, least(12, len(w)) AS k FROM item WHERE len(w) > 0),
+wanted AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS span FROM (SELECT item_id, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM sized)),
+sizes AS (SELECT DISTINCT k FROM sized),
+held AS (SELECT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS span FROM (SELECT doc_id, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM doc, sizes WHERE len(w) >= k)),
+found AS (SELECT DISTINCT doc_id, item_id FROM held JOIN wanted USING (k, span))"""
+
+ORACLE: dict[str, str] = {
+    "p7_found": f"{_LEAKS_SQL} SELECT doc_id, item_id FROM found",
+    "p7_items": f"{_LEAKS_SQL} SELECT item_id, suite, CAST(count(doc_id) AS BIGINT) AS n_documents FROM eval_items LEFT JOIN found USING (item_id) GROUP BY item_id, suite",
+}
