@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import bare, latest, table
-from . import leaks, mixing, secrets, splitting
+from . import fileclass, leaks, mixing, secrets, splitting
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +28,16 @@ def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("literals"), F.countDistinct("doc_id").alias("files"), F.countDistinct("fingerprint").alias("secrets"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return fileclass.classify(_documents(spark, folder))
+
+
+def p2_hand_written(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids and paths of the files that remain."""
+    docs = _documents(spark, folder).select("doc_id", "repository_id", "path")
+    return docs.join(p2_found(spark, folder), "doc_id", "left_anti")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(_documents(spark, folder), table(spark, folder, "eval_items"))
 
@@ -69,6 +79,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
     "p1_kinds": p1_kinds,
+    "p2_found": p2_found,
+    "p2_hand_written": p2_hand_written,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_mix": p8_mix,
