@@ -42,13 +42,18 @@ class Piece(NamedTuple):
     n_tokens: int
 
 
-def _boundaries(text: str) -> list[tuple[int, int]]:
-    """(position, strength) of all boundaries, by position; the strongest counts."""
-    best: dict[int, int] = {}
-    for strength, pattern in _BOUNDARIES:
-        for m in pattern.finditer(text):
-            best.setdefault(m.end(), strength)
-    return sorted(best.items())
+#: Characters that a pattern looks at behind the cut.
+_AHEAD = 400
+
+
+def _strongest(text: str, low: int, high: int) -> list[int]:
+    """Positions of the strongest kind of boundary from *low* to *high*."""
+    stop = min(len(text), high + _AHEAD)
+    for _, pattern in _BOUNDARIES:
+        found = [e for m in pattern.finditer(text, max(0, low - 4), stop) if low <= (e := m.end()) <= high]
+        if found:
+            return found
+    return []
 
 
 def split(text: str, max_tokens: int, overlap_tokens: int, path: str) -> list[Piece]:
@@ -65,9 +70,7 @@ def split(text: str, max_tokens: int, overlap_tokens: int, path: str) -> list[Pi
     limit = max(1, max_tokens)
     overlap = max(0, min(overlap_tokens, limit - 1))
     cap = limit - overlap
-    _, offsets = tokens.encoding(path).decode_with_offsets(ids)  # the character at which each token starts
-    marks = _boundaries(text)
-    positions = [p for p, _ in marks]
+    offsets = tokens.starts(text, ids, path)
     # tokens before a character; several tokens may start within one character
     place = lambda char: bisect.bisect_left(offsets, char)
 
@@ -76,23 +79,17 @@ def split(text: str, max_tokens: int, overlap_tokens: int, path: str) -> list[Pi
         middle = (a + b) / 2
         low = offsets[min(int(a + (b - a) * MIDDLE), len(offsets) - 1)]
         high = offsets[min(int(b - (b - a) * MIDDLE), len(offsets) - 1)]
-        best = None
-        for i in range(bisect.bisect_left(positions, max(low, start + 1)), bisect.bisect_right(positions, min(high, end - 1))):
-            p, strength = marks[i]
-            rank = (-strength, abs(place(p) - middle), p)
-            if best is None or rank < best[0]:
-                best = (rank, p)
-        if best:
-            return best[1]
+        found = _strongest(text, max(low, start + 1), min(high, end - 1))
+        if found:
+            return min(found, key=lambda p: (abs(place(p) - middle), p))
         p = offsets[min(int(middle), len(offsets) - 1)]
         return p if start < p < end else (start + end) // 2
 
-    def cores(start: int, end: int, most: int) -> list[tuple[int, int]]:
+    def cores(start: int, end: int) -> list[tuple[int, int]]:
         out, todo = [], [(start, end)]
         while todo:
             s, e = todo.pop()
-            # a slice alone may take a few tokens more than within the text
-            if e - s <= 1 or (place(e) - place(s) <= most and len(encode(text[s:e])) <= most):
+            if e - s <= 1 or place(e) - place(s) <= cap:
                 out.append((s, e))
                 continue
             c = cut_of(s, e)
@@ -100,13 +97,13 @@ def split(text: str, max_tokens: int, overlap_tokens: int, path: str) -> list[Pi
         return out
 
     out: list[Piece] = []
-    todo = cores(0, len(text), cap)[::-1]
+    todo = cores(0, len(text))[::-1]
     while todo:
         s, e = todo.pop()
         begin = s
         if out and overlap:
             begin = max(out[-1].start, offsets[max(0, place(s) - overlap)])
-        n = len(encode(text[begin:e]))
+        n = len(encode(text[begin:e]))  # alone it may take a few tokens more than within the text
         if n > limit and e - s > 1:
             c = cut_of(s, e)
             todo += [(c, e), (s, c)]

@@ -42,6 +42,12 @@ def test_round_trip_and_limits(most, overlap):
             assert len(full) >= 0.8 * (len(out) - 1)
 
 
+def test_token_starts():
+    for text in [*texts(), "é\n" * 9, "a\ud800b", ""]:
+        ids = tokens.encoding(PATH).encode_ordinary(text)
+        assert tokens.starts(text, ids, PATH) == tokens.encoding(PATH).decode_with_offsets(ids)[1]
+
+
 def test_natural_boundaries():
     text = next(texts())
     out = S.split(text, 64, 8, PATH)
