@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import bare, latest, table
-from . import fileclass, leaks, mixing, secrets, splitting
+from . import fileclass, leaks, licenses, mixing, secrets, splitting
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +38,18 @@ def p2_hand_written(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(p2_found(spark, folder), "doc_id", "left_anti")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    files, trees = licenses.license_of(_documents(spark, folder), table(spark, folder, "license_catalog"))
+    return files.select(F.lit("file").alias("subject_kind"), F.col("doc_id").cast("string").alias("subject_id"), "license_expression").unionByName(
+        trees.select(F.lit("snapshot").alias("subject_kind"), F.col("tree").alias("subject_id"), "license_expression")
+    )
+
+
+def p3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Files and snapshots by license expression."""
+    return p3_found(spark, folder).groupBy("subject_kind", "license_expression").agg(F.count("*").alias("n"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(_documents(spark, folder), table(spark, folder, "eval_items"))
 
@@ -81,6 +93,8 @@ QUERIES = {
     "p1_kinds": p1_kinds,
     "p2_found": p2_found,
     "p2_hand_written": p2_hand_written,
+    "p3_found": p3_found,
+    "p3_licenses": p3_licenses,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_mix": p8_mix,
