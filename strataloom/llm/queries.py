@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import bare, latest, table
-from . import fileclass, leaks, licenses, mixing, secrets, splitting
+from . import fileclass, leaks, licenses, mixing, secrets, splitting, syntax
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def with_language(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """The documents' columns with ``language``, that of the valid row of their artifact (null if none).
+
+    Only keys and languages of the artifacts are moved; each key is unique on
+    both sides, so no group is large.
+    """
+    known = table(spark, folder, "artifacts").select(bare("snapshot_id").alias("_s"), bare("artifact_id").alias("_a"), "received_at", "language").where(F.col("_s").isNotNull() & F.col("_a").isNotNull())
+    known = latest(known, ["_s", "_a"], ["received_at"], ["language"])
+    docs = _documents(spark, folder).select(bare("snapshot_id").alias("_s"), bare("artifact_id").alias("_a"), *columns)
+    return docs.join(known.hint("shuffle_hash"), ["_s", "_a"], "left").drop("_s", "_a")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.redaction_records(_documents(spark, folder)).select("doc_id", "start_line", "kind", "fingerprint")
 
@@ -50,6 +62,21 @@ def p3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return p3_found(spark, folder).groupBy("subject_kind", "license_expression").agg(F.count("*").alias("n"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.invalid(with_language(spark, folder, ["doc_id", "text"])).select("doc_id")
+
+
+def p6_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Where and how each invalid file fails."""
+    return syntax.invalid(with_language(spark, folder, ["doc_id", "text"]))
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Files, invalid files and their share by repository and language."""
+    files = with_language(spark, folder, ["doc_id", "repository_id"])
+    return syntax.rates(files, p6_failures(spark, folder))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(_documents(spark, folder), table(spark, folder, "eval_items"))
 
@@ -70,18 +97,6 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_documents(spark, folder), table(spark, folder, "mix_targets"))[1]
 
 
-def with_language(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """The documents' columns with ``language``, that of the valid row of their artifact (null if none).
-
-    Only keys and languages of the artifacts are moved; each key is unique on
-    both sides, so no group is large.
-    """
-    known = table(spark, folder, "artifacts").select(bare("snapshot_id").alias("_s"), bare("artifact_id").alias("_a"), "received_at", "language").where(F.col("_s").isNotNull() & F.col("_a").isNotNull())
-    known = latest(known, ["_s", "_a"], ["received_at"], ["language"])
-    docs = _documents(spark, folder).select(bare("snapshot_id").alias("_s"), bare("artifact_id").alias("_a"), *columns)
-    return docs.join(known.hint("shuffle_hash"), ["_s", "_a"], "left").drop("_s", "_a")
-
-
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of all documents over their language's limit."""
     return splitting.pieces(with_language(spark, folder, ["doc_id", "text"]), table(spark, folder, "split_limits"), lang="language")
@@ -95,6 +110,9 @@ QUERIES = {
     "p2_hand_written": p2_hand_written,
     "p3_found": p3_found,
     "p3_licenses": p3_licenses,
+    "p6_found": p6_found,
+    "p6_failures": p6_failures,
+    "p6_rates": p6_rates,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_mix": p8_mix,
