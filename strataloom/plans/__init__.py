@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lineage
+from . import catalogue, lineage, search
 
-_MODULES = (lineage,)
+_MODULES = (lineage, catalogue, search)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
