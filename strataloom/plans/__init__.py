@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, lineage, search
+from . import catalogue, files, lineage, search
 
-_MODULES = (lineage, catalogue, search)
+_MODULES = (lineage, catalogue, search, files)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
