@@ -60,7 +60,8 @@ def redact_record(df: DataFrame, literals: list[str], columns: list[str], maps:
     clean = without_literals(literals)
     out = df.withColumns({c: clean(F.col(c)) for c in columns})
     for m in maps:
-        keys, values = F.map_keys(m), F.map_values(m)
+        entries = F.array_sort(F.map_entries(m))  # so that which key gets a number doesn't depend on the map's order
+        keys, values = F.transform(entries, lambda e: e["key"]), F.transform(entries, lambda e: e["value"])
         # arrays pass through one string each, joined by a mark that no literal holds
         plain = lambda a: F.split(clean(F.array_join(F.transform(a, lambda x: F.coalesce(x, F.lit(""))), "\x1f")), "\x1f")
         out = out.withColumn("_k", plain(keys)).withColumn("_v", plain(values)).withColumn(m, F.when(F.size(m) > 0, F.map_from_arrays(_distinct_keys(F.col("_k")), F.col("_v"))).otherwise(F.col(m))).drop("_k", "_v")

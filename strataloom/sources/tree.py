@@ -82,37 +82,58 @@ def inspect(files: DataFrame, most_file: int = MOST_FILE, most_text: int = MOST_
     return out.select("path", "size_bytes", "sha256", "status", text.alias("text"), F.when(text, line_count(F.decode("content", "UTF-8"))).alias("line_count"), detect_language(F.col("path")).alias("language"), detect_media(F.col("path")).alias("media_type"))
 
 
+def listing(spark: SparkSession, root: str, excludes: list[str] | None = None) -> DataFrame:
+    """(path, kind, size_bytes, target) of all entries of a tree that all executors can read.
+
+    The driver walks directories only; their entries are read by tasks.
+    Excluded directories are pruned; kind is file, symlink or special.
+    """
+    base = root.rstrip("/")
+    folders = []
+    for at, dirs, _ in os.walk(base):
+        rel = os.path.relpath(at, base)
+        rel = "" if rel == "." else rel
+        dirs[:] = sorted(d for d in dirs if not any((p := posixpath.join(rel, d)) == e or p.startswith(e + "/") for e in excludes or []))
+        folders.append((rel,))
+
+    def entries(batches):
+        for pdf in batches:
+            rows = []
+            for rel in pdf["folder"]:
+                with os.scandir(os.path.join(base, rel)) as found:
+                    for e in found:
+                        mode, path = e.stat(follow_symlinks=False), posixpath.join(rel, e.name)
+                        if stat.S_ISLNK(mode.st_mode):
+                            rows.append((path, "symlink", 0, os.readlink(e.path)))
+                        elif stat.S_ISREG(mode.st_mode):
+                            rows.append((path, "file", mode.st_size, ""))
+                        elif not stat.S_ISDIR(mode.st_mode):
+                            rows.append((path, "special", 0, ""))
+            yield pd.DataFrame(rows, columns=["path", "kind", "size_bytes", "target"])
+
+    return spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 200)).mapInPandas(entries, "path string, kind string, size_bytes bigint, target string")
+
+
 def scan(spark: SparkSession, root: str, excludes: list[str] | None = None, **sizes: int) -> DataFrame:
-    """Artifacts of a tree that all executors can read: files by ``binaryFile``, excluded paths marked.
+    """Artifacts of a tree: files by ``binaryFile``; empty files, links and special files, which it leaves out or follows, by ``listing``.
 
-    Links and special files, which that source follows or skips, are listed by ``special_files``.
+    Files below excluded paths are inspected, but have the status ``excluded``
+    and the reason.
     """
     base = root.rstrip("/")
+    listed = listing(spark, base)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     rel = F.regexp_replace("path", rf"^(?:file:)?/*{base.lstrip('/')}/", "")
-    rows = files.select(rel.alias("path"), F.col("length").alias("size_bytes"), "content")
-    why = excluded_by(F.col("path"), excludes or [])
-    out = inspect(rows, **sizes).withColumn("exclusion_reason", why)
+    links = listed.where(F.col("kind") != "file")
+    rows = files.select(rel.alias("path"), F.col("length").alias("size_bytes"), "content").join(links, "path", "left_anti")
+    empty = listed.where((F.col("kind") == "file") & (F.col("size_bytes") == 0)).select("path", "size_bytes", F.lit(b"").alias("content"))
+    out = inspect(rows.unionByName(empty), **sizes).withColumn("kind", F.lit("file"))
+    none = lambda kind: F.lit(None).cast(kind)
+    others = links.select("path", "size_bytes", none("string").alias("sha256"), F.lit("recorded").alias("status"), F.lit(False).alias("text"), none("bigint").alias("line_count"), F.lit("").alias("language"), F.lit("").alias("media_type"), "kind")
+    out = out.unionByName(others).withColumn("exclusion_reason", excluded_by(F.col("path"), excludes or []))
     return out.withColumn("status", F.when(F.col("exclusion_reason").isNotNull(), "excluded").otherwise(F.col("status")))
 
 
-def special_files(root: str, excludes: list[str] | None = None) -> list[tuple[str, str, str]]:
-    """(path, kind, target) of links and special files of a local tree; excluded directories are pruned."""
-    out = []
-    for at, dirs, names in os.walk(root):
-        rel = os.path.relpath(at, root)
-        rel = "" if rel == "." else rel.replace(os.sep, "/")
-        dirs[:] = sorted(d for d in dirs if not any(posixpath.join(rel, d) == e or posixpath.join(rel, d).startswith(e + "/") for e in excludes or []))
-        for n in sorted([*names, *[d for d in dirs if os.path.islink(os.path.join(at, d))]]):
-            full, path = os.path.join(at, n), posixpath.join(rel, n)
-            mode = os.lstat(full).st_mode
-            if stat.S_ISLNK(mode):
-                out.append((path, "symlink", os.readlink(full)))
-            elif not stat.S_ISREG(mode):
-                out.append((path, "special", ""))
-    return out
-
-
 def inventory_digest(artifacts: DataFrame) -> DataFrame:
     """One row: the digest of (path, sha256, status, reason) of all artifacts, whatever their order."""
     from ..functions.ids import row_digest, set_digest

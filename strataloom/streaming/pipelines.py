@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def file_stream(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
     """New files below a folder: (path, modificationTime, length, content)."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
 
 
 def extract_stream(spark: SparkSession, root: str, extractor: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
