@@ -34,6 +34,9 @@ KEY_NAMES = (
     "api key", "apikey", "access key", "accesskey", "secret key", "secretkey", "service key", "servicekey", "signing key", "signingkey", "signing secret", "signingsecret", "client secret", "clientsecret", "app secret", "appsecret", "map key", "mapkey",
     "shared key", "sharedkey", "account key", "accountkey", "storage key", "storagekey", "encryption key", "encryptionkey", "master key", "masterkey", "license key", "auth key", "authkey", "webhook secret", "hmac secret", "secret", "secrets", "key", "private key", "privatekey", "signature", "sig", "credential", "credentials",
 )
+#: Short endings that also count when grown together with a word before, and words that end so by chance.
+GLUED = ("pwd", "pass")
+CHANCE = ("bypass", "compass", "encompass", "surpass", "trespass", "underpass", "overpass", "impasse")
 #: Endings that need a value of random look, as they are common as plain names.
 WEAK_NAMES = ("key", "sig", "signature", "pass", "pw", "pat", "token", "credential", "credentials", "secret", "secrets", "private key", "privatekey")
 #: Words before the ending that make it something else.
@@ -57,7 +60,7 @@ def name_kind(name: str) -> tuple[str, bool] | None:
     for kind, names in (("password", PASSWORD_NAMES), ("token", TOKEN_NAMES), ("api_key", KEY_NAMES)):
         best = ""
         for n in names:
-            if (tail == n or tail.endswith(" " + n) or (len(words[-1]) > len(n) >= 5 and words[-1].endswith(n.replace(" ", "")))) and len(n) > len(best):
+            if (tail == n or tail.endswith(" " + n) or (len(words[-1]) > len(n) and (len(n) >= 5 or n in GLUED) and words[-1] not in CHANCE and words[-1].endswith(n.replace(" ", "")))) and len(n) > len(best):
                 best = n
         if best:
             before = tail[: len(tail) - len(best)].strip()
