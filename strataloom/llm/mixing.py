@@ -21,6 +21,8 @@ from ..sources.tables import bare
 from . import tokens
 from ._texts import per_row
 
+#: A table of more targets isn't taken as one.
+MOST_SOURCES = 10_000
 #: Bits of the hash that one histogram looks at, and the number of such steps.
 BUCKET_BITS, STEPS = 10, 6
 _HASH_BITS = BUCKET_BITS * STEPS
@@ -38,10 +40,10 @@ class Plan(NamedTuple):
     threshold: int
 
 
-def sized(documents: DataFrame, sources: DataFrame, doc_id: str, text: str, source: str, tokenizer_path: str) -> DataFrame:
+def sized(documents: DataFrame, sources: list[str], doc_id: str, text: str, source: str, tokenizer_path: str) -> DataFrame:
     """(doc_id, source, h, n_tokens) of the documents of the named sources, written once."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), bare(source).alias("source"), F.col(text).alias("text"))
-    docs = docs.join(sources.select("source").distinct(), "source", "left_semi").select("doc_id", "source", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - _HASH_BITS).alias("h"), "text")
+    docs = docs.where(F.col("source").isin(*sources)).select("doc_id", "source", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - _HASH_BITS).alias("h"), "text")
 
     def measure(key, name, h, body):
         yield key, name, h, tokens.count(body, tokenizer_path)
@@ -82,12 +84,11 @@ def _thresholds(measured: DataFrame, rest: dict[str, float]) -> dict[str, int]:
     return done
 
 
-def plan(measured: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[Plan]:
-    """The largest set (or one of *total_tokens*) with the target shares.
+def plan(measured: DataFrame, wanted: dict[str, tuple[float, int]], total_tokens: int | None = None) -> list[Plan]:
+    """The largest set (or one of *total_tokens*) with the target shares; *wanted*: share and most repeats by source.
 
     Shares of targets without tokens go to the others in proportion.
     """
-    wanted = {r.source: (float(r.target_share), int(r.max_repeats)) for r in targets.collect()}
     held = {r.source: (r.t, r.n) for r in measured.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
     able = {s: share for s, (share, most) in wanted.items() if share > 0 and most > 0 and held.get(s, (0, 0))[0] > 0}
     scale = sum(able.values())
@@ -102,10 +103,13 @@ def plan(measured: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return [Plan(s, share, most, *held.get(s, (0, 0)), full.get(s, 0), at.get(s, 0)) for s, (share, most) in sorted(wanted.items())]
 
 
-def clean_targets(targets: DataFrame) -> DataFrame:
-    """Targets by bare source name; of repeated names the greatest share counts; null shares and repeats count as 0."""
+def clean_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
+    """Share and repeats by bare source name; of repeated names the greatest share counts; null shares and repeats count as 0."""
     t = targets.select(bare("source").alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats")).where(F.col("source").isNotNull())
-    return t.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("m")).select("source", "m.target_share", "m.max_repeats")
+    rows = t.groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("m")).limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} targets")
+    return {r.source: (float(r.m.target_share), int(r.m.max_repeats)) for r in rows}
 
 
 def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer_path: str | None = None, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -122,13 +126,15 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     share goes to the others in proportion.  Rows with equal ids share a hash
     and are chosen together.
     """
-    wanted = cut(clean_targets(targets))
-    measured = sized(documents, wanted, doc_id, text, source, tokenizer_path or tokens.default_path())
+    wanted = clean_targets(targets)
+    measured = sized(documents, sorted(wanted), doc_id, text, source, tokenizer_path or tokens.default_path())
     plans = plan(measured, wanted, total_tokens)
     spark = documents.sparkSession
-    table = spark.createDataFrame([tuple(p) for p in plans], "source string, target_share double, max_repeats int, available_tokens bigint, available_documents bigint, full int, threshold bigint")
+    table = spark.createDataFrame(  # at most MOST_SOURCES rows
+        [tuple(p) for p in plans], "source string, target_share double, max_repeats int, available_tokens bigint, available_documents bigint, full int, threshold bigint"
+    )
     copies = F.col("full") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    chosen = measured.join(table, "source").withColumn("copies", copies).where(F.col("copies") > 0).select("doc_id", "source", "n_tokens", "copies")
+    chosen = measured.join(F.broadcast(table), "source").withColumn("copies", copies).where(F.col("copies") > 0).select("doc_id", "source", "n_tokens", "copies")
     sums = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").cast("bigint").alias("documents"))
     full = table.join(sums, "source", "left").na.fill(0, ["tokens", "documents"])
     every = full.agg(F.sum("tokens").alias("every"))
