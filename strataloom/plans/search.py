@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..session import cut
 from ..sources.tables import table
 from . import views
 from .views import GRAPH_SQL
@@ -76,25 +77,25 @@ def multi_query_merge(spark: SparkSession, folder: str) -> DataFrame:
 def graph_expand(spark: SparkSession, folder: str) -> DataFrame:
     """Three hits spread over their neighbours."""
     hits = spark.createDataFrame([("s:1", 3.0, True), ("n:3", 2.0, True), ("c:7", 1.0, False)], "id string, score double, is_node boolean")
-    edges = views.graph_edges(spark, folder).where(F.col("kind").isin("contains", "references"))
+    edges = cut(views.graph_edges(spark, folder).where(F.col("kind").isin("contains", "references")))
     return R.expand(hits, edges, views.graph_nodes(spark, folder), 2, 1000, budget=5000).select("id", "score", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 def neighborhood(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes by their distance from one customer, within three steps."""
-    n = G.neighborhood(views.graph_edges(spark, folder), "c:1", G.Options(depth=3, nodes=G.NODES_MOST))
+    n = G.neighborhood(cut(views.graph_edges(spark, folder)), "c:1", G.Options(depth=3, nodes=G.NODES_MOST))
     return n.nodes.select("id", F.col("depth").cast("bigint").alias("depth"))
 
 
 def impact(spark: SparkSession, folder: str) -> DataFrame:
     """What leads to a nation within two steps, against the direction of the edges."""
-    n = G.impact(views.graph_edges(spark, folder), "n:3", G.Options(direction="incoming", depth=2, nodes=G.NODES_MOST))
+    n = G.impact(cut(views.graph_edges(spark, folder)), "n:3", G.Options(direction="incoming", depth=2, nodes=G.NODES_MOST))
     return n.nodes.select("id", F.col("depth").cast("bigint").alias("depth"))
 
 
 def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
     """The length and the ends of a path between a region and a part."""
-    p = G.shortest_path(views.graph_edges(spark, folder), "r:0", "s:2", G.Options(depth=8, nodes=G.NODES_MOST))
+    p = G.shortest_path(cut(views.graph_edges(spark, folder)), "r:0", "s:2", G.Options(depth=8, nodes=G.NODES_MOST))
     return spark.createDataFrame([(p.found, len(p.edges), p.nodes[0] if p.nodes else "", p.nodes[-1] if p.nodes else "")], "found boolean, length bigint, first string, last string")
 
 
