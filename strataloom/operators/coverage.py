@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,12 @@ def claim_counts(claims: DataFrame) -> DataFrame:
     return claims.agg(F.count("*").alias("claims_total"), _n(F.size(F.coalesce("evidence_ids", F.array().cast("array<string>"))) > 0).alias("claims_with_evidence"))
 
 
+def one_row(*rows: DataFrame) -> DataFrame:
+    """Rows of different tables, one each, side by side: united, and each column's only value kept."""
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return united.agg(*[F.max(c).alias(c) for c in united.columns])
+
+
 def documented_subjects(documents: DataFrame) -> DataFrame:
     """Ids that a document speaks of which is neither rejected nor stale. documents: (status, subject_ids)."""
     return documents.where(~F.coalesce(F.col("status"), F.lit("")).isin("rejected", "stale")).select(F.explode("subject_ids").alias("id")).distinct()
@@ -73,10 +81,7 @@ def documented_subjects(documents: DataFrame) -> DataFrame:
 
 def coverage(artifacts: DataFrame, nodes: DataFrame, edges: DataFrame, claims: DataFrame, documents: DataFrame, conflicts: DataFrame) -> DataFrame:
     """One row of counts and ratios. Each table is read once, with partial aggregation; 0 of 0 is 1."""
-    row = artifact_counts(artifacts)
-    # each side is one row
-    for one in (node_counts(nodes, documented_subjects(documents)), edge_counts(edges), claim_counts(claims), conflicts.agg(F.count("*").alias("conflicts_total"))):
-        row = row.join(F.broadcast(one))
+    row = one_row(artifact_counts(artifacts), node_counts(nodes, documented_subjects(documents)), edge_counts(edges), claim_counts(claims), conflicts.agg(F.count("*").alias("conflicts_total")))
     c = F.col
     return row.withColumns(
         {
@@ -123,4 +128,4 @@ def quality_gates(row: DataFrame, diagnostics: DataFrame, digest: Column | None
         most("secrets", "high_confidence_secrets", g["secrets"]),
         F.when(F.coalesce(digest, F.lit("")) == "", "digest") if digest is not None else F.lit(None).cast("string"),
     ]
-    return row.join(F.broadcast(by)).select(F.array_sort(F.array_compact(F.array(*checks))).alias("failures"))
+    return one_row(row, by).select(F.array_sort(F.array_compact(F.array(*checks))).alias("failures"))

@@ -163,10 +163,11 @@ def lexical_scores(docs: DataFrame, query: Query, boosts: dict[str, float] = BOO
         F.first("_length").alias("_length"), F.first("_ok").alias("_ok"), F.count("*").alias("tf"), F.max(_boost(F.col("x.field"), boosts)).alias("boost"), F.array_sort(F.collect_set("x.field")).alias("fields")
     )
     df = per.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as terms
-    n, d, avg, tf = F.col("_n"), F.col("df"), F.when(F.col("_avg") > 0, F.col("_avg")).otherwise(1.0), F.col("tf")
+    count, mean = stats.select("_n").scalar(), stats.select("_avg").scalar()
+    n, d, avg, tf = count, F.col("df"), F.when(mean > 0, mean).otherwise(1.0), F.col("tf")
     idf = F.ln(1 + (n - d + 0.5) / (d + 0.5))
     bm25 = idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("_length") / avg)) * F.col("boost")
-    scored = per.where("_ok").join(F.broadcast(df), "term").join(F.broadcast(stats)).select("id", "term", bm25.alias("s"), F.transform("fields", lambda f: F.concat(f, F.lit(":"), F.col("term"))).alias("r"))
+    scored = per.where("_ok").join(F.broadcast(df), "term").select("id", "term", bm25.alias("s"), F.transform("fields", lambda f: F.concat(f, F.lit(":"), F.col("term"))).alias("r"))
     sums = scored.groupBy("id").agg(F.sum("s").alias("score"), F.flatten(F.collect_list("r")).alias("reasons"), F.array_sort(F.collect_set("term")).alias("terms"))
     if not bonuses:
         return sums.select("id", "score", F.array_sort("reasons").alias("reasons"), "terms")

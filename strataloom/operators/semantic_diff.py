@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..vocabulary import SEVERITY_RANKS, is_public, mapped, normal_resolution
+from .coverage import one_row
 
 # Compared fields in output order.
 ARTIFACT_FIELDS = {"content": "sha256", "status": "status", "language": "language", "media_type": "media_type", "generated": "generated", "vendored": "vendored"}
@@ -87,7 +88,4 @@ def summary(artifacts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
         return df.agg(*[F.count_if(F.col("change_kind") == k).alias(f"{name}_{k}") for k in ("added", "removed", "modified")])
 
     worst = nodes.agg(F.count_if(F.col("severity") == "breaking").alias("breaking"), F.count_if(F.col("severity") == "risk").alias("risk"))
-    row = counts(artifacts, "artifacts")
-    for one in (counts(nodes, "nodes"), counts(edges, "edges"), worst):
-        row = row.join(F.broadcast(one))  # one row each
-    return row
+    return one_row(counts(artifacts, "artifacts"), counts(nodes, "nodes"), counts(edges, "edges"), worst)

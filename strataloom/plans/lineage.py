@@ -140,4 +140,14 @@ SELECT coalesce(n.version, o.version) AS snapshot_id, coalesce(n.family, o.famil
 FROM newer n FULL OUTER JOIN older o ON n.version = o.version AND n.family = o.family AND n.key = o.key
 WHERE o.key IS NULL OR n.key IS NULL OR n.val <> o.val"""
 
+_VALUES = {"content_sha256": "regexp_replace(lower(trim(coalesce(content_sha256, ''))), '^sha256:', '')", **{c: f"coalesce({c}, '')" for c in _ARTIFACT_FIELDS[1:]}}
+ORACLE["p5_artifact_values"] = f"""WITH {_LINKS_SQL},
+art AS (SELECT * FROM (SELECT lower(trim(snapshot_id)) AS version, path AS key, {", ".join(f"{v} AS {c}" for c, v in _VALUES.items())}, row_number() OVER (PARTITION BY lower(trim(snapshot_id)), path ORDER BY received_at DESC) AS rn FROM artifacts) WHERE rn = 1),
+pairs AS (SELECT id AS version, parent FROM links WHERE parent IS NOT NULL AND id IN (SELECT version FROM art) AND parent IN (SELECT version FROM art)),
+n AS (SELECT p.version AS v, a.* FROM pairs p JOIN art a ON a.version = p.version), o AS (SELECT p.version AS v, a.* FROM pairs p JOIN art a ON a.version = p.parent)
+SELECT coalesce(n.v, o.v) AS snapshot_id, coalesce(n.key, o.key) AS path, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' ELSE 'modified' END AS change_kind,
+  CASE WHEN o.key IS NULL OR n.key IS NULL THEN '' ELSE concat_ws(',', {", ".join(f"CASE WHEN n.{c} <> o.{c} THEN '{c}' END" for c in _VALUES)}) END AS changed,
+  coalesce(o.content_sha256, '') AS old_sha256, coalesce(n.content_sha256, '') AS new_sha256
+FROM n FULL OUTER JOIN o ON n.v = o.v AND n.key = o.key WHERE o.key IS NULL OR n.key IS NULL OR {" OR ".join(f"n.{c} <> o.{c}" for c in _VALUES)}"""
+
 QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_artifact_values": p5_artifact_values}

@@ -66,8 +66,8 @@ def write_sarif(diagnostics: DataFrame, path: str, tool: str = "strataloom") ->
     listed = rules.orderBy("code").agg(F.array_join(F.array_sort(F.collect_list("j")), ",").alias("r")).first().r  # as many as there are codes, a closed vocabulary
     results = sarif_results(diagnostics)
     # a comma before each but the first
-    first = results.agg(F.min("id").alias("first"))
-    lines = results.join(F.broadcast(first)).select(F.col("id").alias("order"), F.concat(F.when(F.col("id") == F.col("first"), "").otherwise(","), "result").alias("line"))
+    first = results.agg(F.min("id").alias("first")).scalar()
+    lines = results.select(F.col("id").alias("order"), F.concat(F.when(F.col("id") == first, "").otherwise(","), "result").alias("line"))
     head = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}","rules":[{listed or ""}]}}}},"results":['
     _write_wrapped(spark, head, lines, "]}]}", path)
 
