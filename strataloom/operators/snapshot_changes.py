@@ -20,8 +20,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a version are spread over this many join keys, so that a version with a third of all rows fills no task.
-SALTS = 32
+#: A version with more rows than this, and than a thousandth of all, is hot: its rows are spread over SALTS join keys, so that it fills no task.
+HOT_ROWS, SALTS = 200_000, 64
 
 
 def row_hash(fields: list[Column]) -> Column:
@@ -44,7 +44,14 @@ def index_rows(df: DataFrame, version: Column, key: Column, fields: list[Column]
     return df.select(version.alias("version"), key.alias("key"), at.alias("at"), row_hash(fields).alias("hash")).where(F.col("version").isNotNull() & F.col("key").isNotNull())
 
 
-def compare_lineage(index: DataFrame, lineage: DataFrame, salts: int = SALTS) -> DataFrame:
+def hot_versions(index: DataFrame, hot_rows: int = HOT_ROWS) -> list[str]:
+    """Versions with more than *hot_rows* rows and more than a thousandth of all; so there are fewer than a thousand."""
+    counts = index.groupBy("version").agg(F.count("*").alias("n"))
+    every = index.agg(F.count("*").alias("n")).scalar()
+    return [r.version for r in counts.where((F.col("n") > hot_rows) & (F.col("n") * 1000 > every)).select("version").collect()]
+
+
+def compare_lineage(index: DataFrame, lineage: DataFrame, salts: int = SALTS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Changes of every version against its parent.
 
     index: (version, family, key, at, hash); lineage: (version, parent), one
@@ -54,8 +61,10 @@ def compare_lineage(index: DataFrame, lineage: DataFrame, salts: int = SALTS) ->
     roles = lineage.select(F.col("version").alias("v"), F.col("version").alias("target"), F.lit(True).alias("new")).unionByName(
         lineage.select(F.col("parent").alias("v"), F.col("version").alias("target"), F.lit(False).alias("new"))
     )
-    roles = roles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = index.withColumn("salt", F.pmod(F.hash("key"), F.lit(salts)))
+    hot = hot_versions(index, hot_rows)
+    spread = lambda v: v.isin(*hot) if hot else F.lit(False)
+    roles = roles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(spread(F.col("v")), salts - 1).otherwise(0))))
+    salted = index.withColumn("salt", F.when(spread(F.col("version")), F.pmod(F.hash("key"), F.lit(salts))).otherwise(0))
     met = salted.join(roles, (F.col("version") == F.col("v")) & (salted["salt"] == roles["salt"]))
     entry = F.struct("at", "hash")
     sides = met.groupBy("target", "family", "key").agg(

@@ -13,6 +13,7 @@ def test_lineage_changes(spark):
     index = index_rows(df, F.col("version"), F.col("k"), [F.col("hash")], F.timestamp_seconds("at")).withColumn("family", F.lit("f"))
     lineage = spark.createDataFrame([("s2", "s1"), ("s3", "s1")], "version string, parent string")
     changes = compare_lineage(index, lineage, salts=3)
+    assert compare_lineage(index, lineage, salts=3, hot_rows=2).exceptAll(changes).collect() == [] and compare_lineage(index, lineage, salts=3, hot_rows=2).count() == changes.count()
     assert {tuple(r) for r in changes.collect()} == {("s2", "f", "b", "removed"), ("s2", "f", "d", "added"), ("s3", "f", "a", "modified")}
     latest = df.where("k is not null and version is not null").groupBy("version", F.col("k").alias("key")).agg(F.max_by("hash", "at").alias("hash"))
     full = {(r.version, r.key): (r.old and r.old.hash, r.new and r.new.hash, r.changed) for r in fetch_values(changes, latest, lineage, ["hash"]).collect()}
