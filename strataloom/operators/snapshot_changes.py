@@ -20,6 +20,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: A version with more rows than this, and than a thousandth of all, is hot: its rows are spread over SALTS join keys, so that it fills no task.
 HOT_ROWS, SALTS = 200_000, 64
 
@@ -58,9 +60,9 @@ def compare_lineage(index: DataFrame, lineage: DataFrame, salts: int = SALTS, ho
     row per version to compare.  Returns (version, family, key, change_kind)
     with ``added``, ``removed`` or ``modified``; equal keys give no row.
     """
-    roles = lineage.select(F.col("version").alias("v"), F.col("version").alias("target"), F.lit(True).alias("new")).unionByName(
-        lineage.select(F.col("parent").alias("v"), F.col("version").alias("target"), F.lit(False).alias("new"))
-    )
+    # a version travels as a number; written once, so that the numbers hold
+    numbered = cut(lineage.select("version", "parent").withColumn("target", F.monotonically_increasing_id()))
+    roles = numbered.select(F.col("version").alias("v"), "target", F.lit(True).alias("new")).unionByName(numbered.select(F.col("parent").alias("v"), "target", F.lit(False).alias("new")))
     hot = hot_versions(index, hot_rows)
     spread = lambda v: v.isin(*hot) if hot else F.lit(False)
     roles = roles.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(spread(F.col("v")), salts - 1).otherwise(0))))
@@ -72,7 +74,8 @@ def compare_lineage(index: DataFrame, lineage: DataFrame, salts: int = SALTS, ho
         F.max(F.when(~F.col("new"), entry)).alias("o"),
     )
     kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("n.hash") != F.col("o.hash"), "modified")
-    return sides.select(F.col("target").alias("version"), "family", "key", kind.alias("change_kind")).where(F.col("change_kind").isNotNull())
+    changes = sides.select("target", "family", "key", kind.alias("change_kind")).where(F.col("change_kind").isNotNull())
+    return changes.join(numbered.select("target", "version"), "target").select("version", "family", "key", "change_kind")
 
 
 def fetch_values(changes: DataFrame, rows: DataFrame, lineage: DataFrame, values: list[str]) -> DataFrame:
