@@ -76,7 +76,7 @@ def name_kind(name: str) -> tuple[str, bool] | None:
 _PLACEHOLDER = re.compile(
     r"""(?xi)
     ^[\W_]*$ | ^(.)\1*$ | [<>] | \.\.\. | … | \*{3} | x{4} | ^\$ | \$\{ | \$\( | \{\{ | \}\} | ^%[({\w] .* [)}%s]$ | ^@\w+@$ | ^\#\{ | ^__\w+__$
-    | \b(change[-_ ]?(me|it|this) | placeholder | dummy | redacted | todo | fixme)\b | \byour[-_ ] | ^your | ^example | example$ | ^(my|the|some|a)[-_ ]?(secret|password|token|api[-_]?key|key)$ | ^replace[-_ ]?(me|with|this) | ^insert[-_ ] | ^fill[-_ ]?(me|in)
+    | \b(change[-_ ]?(me|it|this) | placeholder | dummy | redacted | todo | fixme)\b | \byour[-_ ] | ^your | ^example | example$ | ^(my|the|some|a)[-_ ]?(secret|password|token|api[-_]?key|key)$ | ^redacted | ^replace[-_ ]?(me|with|this) | ^insert[-_ ] | ^fill[-_ ]?(me|in)
     | ^(none|null|nil|true|false|undefined|empty|default|secret|password|passwort|kennwort|passwd|token|key|apikey|api[-_]key|test|sample|demo|foo|bar|baz|string|str|value|username|user|email|login|unset|required|optional|hidden|masked|n/?a)$
     | ^(os\.|process\.env|env[.:(]|getenv|system\.getenv|import\.meta|config[.\[(]|settings[.\[(]|secrets?[.:/]|vault[:/.]|ssm[:/]|arn:|op://|ref\+|file:|kms:|keyring:|/run/secrets|/etc/|/var/|\./|~/|!ref|!vault|secretsmanager)
     """
