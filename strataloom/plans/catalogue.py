@@ -127,7 +127,7 @@ def duplicate_ids(spark: SparkSession, folder: str) -> DataFrame:
 def edge_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Edge rules on edges some of which lead nowhere."""
     e = views.graph_edges(spark, folder)
-    lost = e.where(F.col("kind") == "contains").withColumns({"to": F.lit("x:0"), "id": F.concat(F.col("id"), F.lit("|lost")), "confidence": F.lit(1.5), "resolution": F.lit("guessed")})
+    lost = e.where(F.col("kind") == "contains").withColumns({"to": F.concat(F.lit("x:"), F.col("to")), "id": F.concat(F.col("id"), F.lit("|lost")), "confidence": F.lit(1.5), "resolution": F.lit("guessed")})
     families = {"nodes": views.graph_nodes(spark, folder).select("id", "kind", "name", F.lit(None).cast("string").alias("artifact_id"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line")), "edges": e.unionByName(lost)}
     return V.violations(families)
 
