@@ -21,8 +21,9 @@ _FILLED = "coalesce({0}, '')"
 
 
 def node_filter_page(spark: SparkSession, folder: str) -> DataFrame:
-    """The first page of public Python functions, by id."""
-    page, _ = R.keyset_page(R.filter_nodes(views.nodes(spark, folder), kind="function", language="python", visibility="public"), "id")
+    """The first page of public Python functions, by snapshot and id."""
+    some = R.filter_nodes(views.nodes(spark, folder), kind="function", language="python", visibility="public")
+    page, _ = R.keyset_page(some.withColumn("key", F.concat_ws("/", "snapshot_id", "id")), "key")
     return page.select("snapshot_id", "id", "name")
 
 
@@ -237,7 +238,7 @@ nd AS (SELECT key, CASE WHEN isnew THEN 'added' WHEN isold THEN 'removed' ELSE '
   FROM j WHERE isnew OR isold OR dq OR ds OR dh)"""
 
 ORACLE = {
-    "node_filter_page": f"WITH {VIEWS_SQL} SELECT snapshot_id, node_id AS id, name FROM v_nodes WHERE kind = 'function' AND language = 'python' AND visibility = 'public' ORDER BY node_id LIMIT 51",
+    "node_filter_page": f"WITH {VIEWS_SQL} SELECT snapshot_id, node_id AS id, name FROM v_nodes WHERE kind = 'function' AND language = 'python' AND visibility = 'public' ORDER BY snapshot_id || '/' || node_id LIMIT 51",
     "keyset_page_2": f"""WITH {GRAPH_SQL} SELECT id, "from", "to" FROM g_edges WHERE kind = 'calls' AND {_NORM} = 'compiler_resolved' AND id > 'c:5' ORDER BY id LIMIT 101""",
     "diagnostic_filter": f"WITH {VIEWS_SQL} SELECT diagnostic_id, code FROM v_diagnostics WHERE severity = 'warning' AND stage = 'extract'",
     "artifact_list": f"WITH {VIEWS_SQL} SELECT status, count(*) AS n FROM v_artifacts WHERE language = 'go' AND starts_with(path, 'src/') GROUP BY status",
