@@ -5,7 +5,8 @@ extra copies go to the documents below a threshold.  The threshold is found
 from sums of tokens by source and hash bucket; only the bucket on the border
 is split into finer ones, until it holds one document.  No sort, no shuffle of
 documents: the copies follow from a comparison with the threshold.  Thresholds
-are nested, so a smaller set lies within a larger one.
+are nested, so a smaller set lies within a larger one, but for a few long
+documents that are passed over where they would miss a budget by far.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from ._texts import per_row
 
 #: A table of more targets isn't taken as one.
 MOST_SOURCES = 10_000
+#: A source may be off its budget by this share before a long document on the border is passed over, and so often.
+TOLERANCE, PASSES = 0.001, 12
 #: Bits of the hash that one histogram looks at, and the number of such steps.
 BUCKET_BITS, STEPS = 10, 6
 _HASH_BITS = BUCKET_BITS * STEPS
 
 
 class Plan(NamedTuple):
-    """What a source gives: full copies of everything, and one more below the threshold."""
+    """What a source gives: full copies of everything, and one more below the threshold but for the hashes passed over."""
 
     source: str
     target_share: float
@@ -38,6 +41,7 @@ class Plan(NamedTuple):
     documents: int
     full: int
     threshold: int
+    passed: list[int]
 
 
 def sized(documents: DataFrame, sources: list[str], doc_id: str, text: str, source: str, tokenizer_path: str) -> DataFrame:
@@ -52,11 +56,21 @@ def sized(documents: DataFrame, sources: list[str], doc_id: str, text: str, sour
     return cut(per_row(docs, measure, f"doc_id {key_type}, source string, h bigint, n_tokens bigint"))
 
 
-def _thresholds(measured: DataFrame, rest: dict[str, float]) -> dict[str, int]:
-    """For each source the hash below which tokens sum up to about *rest*."""
+class Border(NamedTuple):
+    """The document at which a source's extra copies end: thresholds with and without it, and the tokens below them."""
+
+    without: int
+    tokens_without: float
+    including: int
+    tokens_including: float
+    hash: int  # -1 if all documents are taken
+
+
+def _borders(measured: DataFrame, rest: dict[str, float], passed: dict[str, list[int]]) -> dict[str, Border]:
+    """For each source the threshold below which tokens, without the hashes passed over, sum up to about *rest*."""
     prefix = dict.fromkeys(rest, 0)  # the border bucket, as the leading bits of the hash
     below = dict.fromkeys(rest, 0)  # tokens under it
-    done: dict[str, int] = {s: 0 for s, r in rest.items() if r <= 0}
+    done: dict[str, Border] = {}
     for step in range(1, STEPS + 1):
         open_ = [s for s in rest if s not in done]
         if not open_:
@@ -64,26 +78,52 @@ def _thresholds(measured: DataFrame, rest: dict[str, float]) -> dict[str, int]:
         shift = _HASH_BITS - step * BUCKET_BITS
         at_border = F.lit(False)
         for s in open_:
-            at_border = at_border | ((F.col("source") == s) & (F.shiftright("h", shift + BUCKET_BITS) == prefix[s]))
-        sums = measured.where(at_border).groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.countDistinct("h").alias("k"))
+            here = (F.col("source") == s) & (F.shiftright("h", shift + BUCKET_BITS) == prefix[s])
+            at_border = at_border | (here & ~F.col("h").isin(*passed[s]) if passed[s] else here)
+        sums = measured.where(at_border).groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.min("h").alias("h"), F.countDistinct("h").alias("k"))
         by: dict[str, list] = {s: [] for s in open_}
         for r in sums.collect():  # at most 2**BUCKET_BITS rows for each source of the target table
-            by[r.source].append((r.b, r.t, r.k))
+            by[r.source].append((r.b, r.t, r.h, r.k))
         for s in open_:
             found = False
-            for b, t, k in sorted(by[s]):
+            for b, t, h, k in sorted(by[s]):
                 if below[s] + t >= rest[s]:
                     prefix[s], found = b, True
                     if k <= 1 or step == STEPS:
-                        # one document (or equal hashes) on the border: whichever comes closer
-                        done[s] = (b + 1 if below[s] + t - rest[s] <= rest[s] - below[s] else b) << shift
+                        # one document (or equal hashes) on the border
+                        done[s] = Border(b << shift, below[s], (b + 1) << shift, below[s] + t, h)
                     break
                 below[s] += t
             if not found:
-                done[s] = (prefix[s] + 1) << (shift + BUCKET_BITS)
+                end = (prefix[s] + 1) << (shift + BUCKET_BITS)
+                done[s] = Border(end, below[s], end, below[s], -1)
     return done
 
 
+def _thresholds(measured: DataFrame, rest: dict[str, float], budget: dict[str, float]) -> dict[str, tuple[int, list[int]]]:
+    """(threshold, hashes passed over) of each source.
+
+    Where a long document on the border leaves a source off its budget by more
+    than TOLERANCE, it is passed over and the next documents fill its place, at most PASSES times.
+    """
+    passed: dict[str, list[int]] = {s: [] for s in rest}
+    out = dict.fromkeys(rest, 0)
+    left = {s: r for s, r in rest.items() if r > 0}
+    for _ in range(PASSES + 1):
+        again = {}
+        for s, border in _borders(measured, left, passed).items():
+            short, over = rest[s] - border.tokens_without, border.tokens_including - rest[s]
+            if border.hash >= 0 and min(short, over) > TOLERANCE * budget[s] and len(passed[s]) < PASSES:
+                passed[s].append(border.hash)
+                again[s] = rest[s]
+            else:
+                out[s] = border.including if over < short else border.without
+        if not again:
+            break
+        left = again
+    return {s: (out[s], passed[s]) for s in rest}
+
+
 def plan(measured: DataFrame, wanted: dict[str, tuple[float, int]], total_tokens: int | None = None) -> list[Plan]:
     """The largest set (or one of *total_tokens*) with the target shares; *wanted*: share and most repeats by source.
 
@@ -94,13 +134,13 @@ def plan(measured: DataFrame, wanted: dict[str, tuple[float, int]], total_tokens
     scale = sum(able.values())
     size = min((wanted[s][1] * held[s][0] * scale / share for s, share in able.items()), default=0.0)
     size = min(size, total_tokens) if total_tokens is not None else size
-    full, rest = {}, {}
+    full, rest, budgets = {}, {}, {}
     for s, share in able.items():
-        budget = size * share / scale
+        budget = budgets[s] = size * share / scale
         full[s] = min(wanted[s][1], math.floor(budget / held[s][0] + 1e-9))
         rest[s] = budget - full[s] * held[s][0] if full[s] < wanted[s][1] else 0.0
-    at = _thresholds(measured, {s: r if r > 0.5 else 0.0 for s, r in rest.items()})
-    return [Plan(s, share, most, *held.get(s, (0, 0)), full.get(s, 0), at.get(s, 0)) for s, (share, most) in sorted(wanted.items())]
+    at = _thresholds(measured, {s: r if r > 0.5 else 0.0 for s, r in rest.items()}, budgets)
+    return [Plan(s, share, most, *held.get(s, (0, 0)), full.get(s, 0), *at.get(s, (0, []))) for s, (share, most) in sorted(wanted.items())]
 
 
 def clean_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
@@ -131,15 +171,15 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     plans = plan(measured, wanted, total_tokens)
     spark = documents.sparkSession
     table = spark.createDataFrame(  # at most MOST_SOURCES rows
-        [tuple(p) for p in plans], "source string, target_share double, max_repeats int, available_tokens bigint, available_documents bigint, full int, threshold bigint"
+        [tuple(p) for p in plans], "source string, target_share double, max_repeats int, available_tokens bigint, available_documents bigint, full int, threshold bigint, passed array<bigint>"
     )
-    copies = F.col("full") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+    copies = F.col("full") + F.when((F.col("h") < F.col("threshold")) & ~F.array_contains("passed", F.col("h")), 1).otherwise(0)
     chosen = measured.join(F.broadcast(table), "source").withColumn("copies", copies).where(F.col("copies") > 0).select("doc_id", "source", "n_tokens", "copies")
     sums = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").cast("bigint").alias("documents"))
     full = table.join(sums, "source", "left").na.fill(0, ["tokens", "documents"])
-    every = full.agg(F.sum("tokens").alias("every"))
-    shares = full.join(F.broadcast(every)).select(  # one row
-        "source", "target_share", "max_repeats", F.when(F.col("every") > 0, F.col("tokens") / F.col("every")).otherwise(0.0).alias("actual_share"), "tokens", "documents", "available_tokens", "available_documents"
+    every = full.agg(F.sum("tokens").alias("every")).scalar()
+    shares = full.select(
+        "source", "target_share", "max_repeats", F.when(every > 0, F.col("tokens") / every).otherwise(0.0).alias("actual_share"), "tokens", "documents", "available_tokens", "available_documents"
     )
     return chosen, shares
 

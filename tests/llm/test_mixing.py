@@ -30,6 +30,15 @@ def test_shares_and_caps(spark):
     assert M.expanded(chosen).count() == sum(r.copies for r in rows)
 
 
+def test_long_documents_on_the_border(spark):
+    rows = [(i, " word" * (3000 if i % 9 == 0 else 20), s) for s in ("a", "b") for i in range(1000 * (s == "b"), 1000 * (s == "b") + 400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 3)], "source string, target_share double, max_repeats int")
+    for total in (150_000, 61_234, 37_777):
+        s = {r.source: r.actual_share for r in M.mix(d, t, total_tokens=total)[1].collect()}
+        assert abs(s["a"] - 0.6) < 0.004, (total, s)
+
+
 def test_smaller_sets_are_nested(spark):
     d = docs(spark, [("a", 200, 12), ("b", 200, 12)])
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
