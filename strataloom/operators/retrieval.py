@@ -322,27 +322,30 @@ def expand(hits: DataFrame, edges: DataFrame, documents: DataFrame, hops: int, l
     """Hits (id, score, is_node) with bonuses for graph neighbours: score * 0.55^depth from each hit that is a node.
 
     Each seed may reach as many nodes as its predecessors in hit order have left
-    of the budget; a seed's reach is counted nearest first.  All seeds walk at
-    once, level by level; the budget is applied to their reaches by a running
-    sum.  That equals taking the seeds one by one while the sum stays within the
-    budget; the seed that crosses it keeps its nearest nodes, later ones none.
+    of the budget; a seed's reach is counted in breadth-first order of discovery.
+    All seeds walk at once, level by level; the budget is applied to their
+    reaches by a running sum.  That equals taking the seeds one by one: the seed
+    that crosses the budget keeps the nodes it found first, later ones none.  No
+    level keeps more nodes of a seed than the budget, as none beyond could count.
     """
     hops = min(max(hops, 0), HOPS_MOST)
     budget = EXPAND_DEFAULT if budget <= 0 else min(budget, EXPAND_MOST)
     ranked = cut(hits.withColumn("_order", F.row_number().over(Window.orderBy(F.desc("score"), "id"))))  # a bounded list
     seeds = ranked.where("is_node").select(F.col("id").alias("seed"), "_order", F.col("score").alias("seed_score"))
     moves = steps(accepted_edges(edges, Options()), "both").select("at", "next").distinct()
-    reached = cut(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")))
+    reached = cut(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(1).alias("rank")))
     frontier = reached
+    found_first = Window.partitionBy("seed").orderBy("prank", "id")
     for depth in range(1, hops + 1):
-        step = frontier.select("seed", F.col("id").alias("at")).join(moves, "at").select("seed", F.col("next").alias("id")).distinct()
-        frontier = cut(step.join(reached, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        met = frontier.select("seed", F.col("id").alias("at"), F.col("rank").alias("prank")).join(moves, "at")
+        step = met.groupBy("seed", F.col("next").alias("id")).agg(F.min("prank").alias("prank")).join(reached, ["seed", "id"], "left_anti")
+        ranked_step = step.withColumn("rank", F.row_number().over(found_first)).where(F.col("rank") <= budget)
+        frontier = cut(ranked_step.select("seed", "id", F.lit(depth).alias("depth"), "rank"))
         if not frontier.take(1):
             break
         reached = cut(reached.unionByName(frontier))
     placed = reached.join(seeds, "seed")
-    w = Window.orderBy("_order", "depth", "id")
-    within = placed.withColumn("_used", F.row_number().over(w)).where(F.col("_used") <= budget) if budget else placed
+    within = placed.withColumn("_used", F.row_number().over(Window.orderBy("_order", "depth", "rank"))).where(F.col("_used") <= budget)
     bonus = within.where(F.col("depth") >= 1).select("id", (F.col("seed_score") * F.pow(F.lit(DECAY), F.col("depth"))).alias("bonus"), F.concat(F.lit("graph_hop:"), F.col("depth").cast("string")).alias("reason"))
     allowed = documents.where(accept) if accept is not None else documents
     gained = bonus.join(allowed.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("bonus").alias("bonus"), F.array_sort(F.collect_set("reason")).alias("graph_reasons"))

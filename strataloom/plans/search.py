@@ -77,7 +77,7 @@ def multi_query_merge(spark: SparkSession, folder: str) -> DataFrame:
 def graph_expand(spark: SparkSession, folder: str) -> DataFrame:
     """Three hits spread over their neighbours."""
     hits = spark.createDataFrame([("s:1", 3.0, True), ("n:3", 2.0, True), ("c:7", 1.0, False)], "id string, score double, is_node boolean")
-    edges = cut(views.graph_edges(spark, folder).where(F.col("kind").isin("contains", "references")))
+    edges = cut(views.graph_edges(spark, folder))
     return R.expand(hits, edges, views.graph_nodes(spark, folder), 2, 1000, budget=5000).select("id", "score", F.concat_ws(",", "reasons").alias("reasons"))
 
 
@@ -123,8 +123,8 @@ def degree_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def induced_subgraph(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges between nations, regions and customers with a low number."""
-    some = views.graph_nodes(spark, folder).where(F.col("id").rlike(r"^[rnc]:\d{1,2}$"))
+    """Edges between regions, nations, customers and suppliers."""
+    some = views.graph_nodes(spark, folder).where(F.col("kind").isin("namespace", "module", "class"))
     return G.induced(views.graph_edges(spark, folder), some).select("id", "kind")
 
 
