@@ -25,7 +25,7 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 def artifact_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """The documents' texts as files: digest, status, lines, language."""
     files = _docs(spark, folder).select(F.concat_ws("/", F.col("doc_id").cast("string"), "path").alias("path"), F.encode("text", "UTF-8").alias("content")).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
-    return tree.inspect(files, most_text=60_000).select("path", "size_bytes", "sha256", "status", F.coalesce("line_count", F.lit(-1)).cast("bigint").alias("line_count"), "language")
+    return tree.inspect(files).select("path", "size_bytes", "sha256", "status", F.coalesce("line_count", F.lit(-1)).cast("bigint").alias("line_count"), "language")
 
 
 def excluded_paths(spark: SparkSession, folder: str) -> DataFrame:
