@@ -6,6 +6,7 @@ import json
 import posixpath
 import re
 
+import yaml
 from pyspark.sql import DataFrame
 
 from .rows import flat_map
@@ -118,6 +119,32 @@ def dotenv(doc_id, text: str):
             yield doc_id, "environment_variable", m.group(1), "<redacted>" if secret_name(m.group(1)) and value else value, None, None, n
 
 
+class _StrictLoader(yaml.BaseLoader):
+    """Scalars stay texts; aliases and repeated keys are errors."""
+
+    def compose_node(self, parent, index):
+        if self.check_event(yaml.AliasEvent):
+            raise yaml.composer.ComposerError(None, None, "alias", self.peek_event().start_mark)
+        return super().compose_node(parent, index)
+
+    def construct_mapping(self, node, deep=False):
+        keys = [k.value for k, _ in node.value if isinstance(k, yaml.ScalarNode)]
+        if len(set(keys)) < len(node.value):
+            raise RepeatedKey(str(keys))
+        return super().construct_mapping(node, deep)
+
+
+_DESCRIBES = re.compile(r"^\s*[\"']?(?:openapi|swagger)[\"']?\s*:", re.M)
+
+
+def strict_yaml(text: str):
+    """One YAML document without repeated keys and aliases; a ValueError otherwise."""
+    try:
+        return yaml.load(text, _StrictLoader)  # noqa: S506
+    except (yaml.YAMLError, RecursionError) as e:
+        raise ValueError(str(e)) from e
+
+
 def json_schema(doc_id, text: str):
     """Definitions, nested properties by JSON pointer, and references."""
     try:
@@ -142,10 +169,10 @@ def json_schema(doc_id, text: str):
             todo.append((f"{at}/items", node["items"], "field", "items"))
 
 
-def openapi(doc_id, text: str):
-    """Services, endpoints, parameters, responses, schemas and security schemes of a JSON description, with its references."""
+def openapi(doc_id, text: str, read=strict_json):
+    """Services, endpoints, parameters, responses, schemas and security schemes of a description, JSON or, by *read*, YAML, with its references."""
     try:
-        held = strict_json(text)
+        held = read(text)
     except ValueError:
         return
     if not isinstance(held, dict) or not ("openapi" in held or "swagger" in held):
@@ -199,6 +226,8 @@ def any_manifest(doc_id, path: str | None, text: str | None):
     elif name.endswith(".json"):
         yield from json_schema(doc_id, text)
         yield from openapi(doc_id, text)
+    elif name.endswith((".yaml", ".yml")) and _DESCRIBES.search(text):
+        yield from openapi(doc_id, text, strict_yaml)
 
 
 def manifest_table(docs: DataFrame) -> DataFrame:
