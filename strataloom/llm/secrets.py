@@ -1,7 +1,7 @@
 """Credentials embedded in texts: finding and redacting their literals.
 
-A text is tokenised lexically around credential-named identifiers: a literal
-counts when it is assigned or passed to such a name (``api_key = "..."``,
+A text is tokenised lexically around credential-named identifiers, whose line
+breaks and triple quotes don't end the search for a literal: it counts when it is assigned or passed to such a name (``api_key = "..."``,
 ``--bot-token ...``, ``{"password": "..."}``, ``WithAccessKey("...")``, ``the
 password is ...``), when it stands in the login part or a token parameter of a
 URL, in a connection string or an authorisation header, when it is a private
@@ -146,8 +146,34 @@ _ENTRY_VALUE = re.compile(r"^\s*[\"']?value[\"']?\s*:\s*(?:" + _QUOTED + r"|" +
 _SETTING = re.compile(r"^\s*(?:export\s+)?[\w.\"'-]+\s*[:=]\s*\S+\s*(?:#.*)?$")
 _REFERS = re.compile(r"(?i)pass|pwd|secret|token|key|user|config|value|input|args|param|self\.|this\.")
 
-# Lower-case words, one of which stands on every line where a credential may begin.
-_HINTS = ("pass", "pwd", "pw ", "pw=", "pw:", "kennwort", "secret", "token", "key", "bearer", "basic", "://", "login", "log-in", "account", "credential", "creds", "zugang", "jwt", "contrasena", "sig=", "signature", *_SHAPE_HINTS)
+# What may stand between a name and its literal where one of them isn't on the name's line, or has triple quotes.
+_GAP = r"(?:[ \t\r\n]|\\\r?\n|(?:#|//)[^\n]*\n)*"
+_LINKED = re.compile(_SHUT + _TYPE.replace(r"\s", r"[ \t]").replace("| ?]", "|]") + "(?:" + _GAP + r"(?:=>|:=|==?)|[ \t]*[:(])" + _GAP + _WRAP.replace(r"\(\s*", r"\(" + _GAP) + r"(\"\"\"|'''|[\"'`])")
+_ONE = re.compile(_QUOTED)
+_ELEMENT_OVER = re.compile(r">\s*([^<>\s]+)\s*</")
+_IS_KEY = re.compile(r"\\?[\"'`]?\s*:(?!:)")
+_CLASS_BEFORE = re.compile(r"\b(?:class|def|case)\s+$")
+
+
+def _shortest(words: set[str]) -> tuple[str, ...]:
+    return tuple(sorted(w for w in words if not any(o != w and o in w for o in words)))
+
+
+#: The last words of all names: a credential name holds one of them. Those of three letters and less that aren't glued to others count as whole words only.
+_LAST_WORDS = {n.split()[-1] for n in (*PASSWORD_NAMES, *TOKEN_NAMES, *KEY_NAMES)}
+_SHORT_HINTS = tuple(sorted(w for w in _LAST_WORDS if len(w) <= 3 and w not in (*GLUED, "key", "jwt")))
+# The other lower-case words, one of which stands on every line where a credential without such a name may begin.
+_HINTS = _shortest({w for w in _LAST_WORDS if w not in _SHORT_HINTS} | {"bearer", "basic", "://", "login", "log-in", "account", "credential", "creds", "zugang", *_SHAPE_HINTS})
+
+
+def _whole_word(text: str, at: int, word: str) -> bool:
+    """Whether the word at a place ends a name of several words, by other characters or by its case."""
+    end = at + len(word)
+    if text[end : end + 1].isascii() and text[end : end + 1].isalpha():
+        return False
+    own, before = text[at:end], text[at - 1 : at] if at else ""
+    joined = before.isascii() and before.isalpha()
+    return not joined or own[0].isupper() and (own[1:].islower() or own.isupper() and before.islower())
 
 
 class Finding(NamedTuple):
@@ -176,7 +202,34 @@ def _group(m: re.Match, first: int) -> tuple[int, int] | None:
 _COMPOUND = re.compile(r"(?i)://|\b(?:bearer|basic)\s|(?:password|pwd)\s*=|-----BEGIN|authorization")
 
 
-def _on_line(line: str, base: int, add) -> None:
+def _over_lines(text: str, start: int, end: int, named: tuple[str, bool], add) -> None:
+    """The literal of the name [start, end) that begins on a later line, or in triple quotes."""
+
+    def take(s: int, e: int) -> None:
+        value = text[s:e]
+        s, e = s + len(value) - len(value.lstrip()), e - len(value) + len(value.rstrip())
+        if e > s and not _COMPOUND.search(text[s:e]) and is_secret(text[s:e], *named):
+            add(s, e, named[0])
+
+    opener = text[max(0, start - 64) : start]
+    if (m := _LINKED.match(text, end)) and not _CLASS_BEFORE.search(opener):
+        mark, at = m.group(1), m.start(1)
+        broken = "\n" in text[end:at]
+        if len(mark) == 3:
+            stop = text.find(mark, at + 3)
+            if stop >= 0:
+                take(at + 3, stop)
+        elif (v := _ONE.match(text, at)) and (broken or "\n" in v.group()) and not _IS_KEY.match(text, v.end()):
+            take(*_group(v, 1))
+    if _CALLED.search(opener) and (v := _DEFAULTED.match(text, end)) and "\n" in opener[opener.rfind("(") :] + v.group():
+        take(*_group(v, 1))
+    if opener.endswith(('key="', 'name="', "key='", "name='")) and (v := _ATTRIBUTE.match(text, end)) and "\n" in v.group():
+        take(*_group(v, 1))
+    if opener.endswith("<") and (v := _ELEMENT_OVER.match(text, end)) and "\n" in v.group():
+        take(*v.span(1))
+
+
+def _on_line(line: str, base: int, add, text: str) -> None:
     for m in _USERINFO.finditer(line):
         if is_secret(m.group(1), "password", False):
             add(base + m.start(1), base + m.end(1), "password")
@@ -230,6 +283,7 @@ def _on_line(line: str, base: int, add) -> None:
                         e -= 1
                     if len(line[s:e]) >= 6 and re.search(r"\d|[A-Z].*[a-z]|[a-z].*[A-Z]|_", line[s:e]):
                         take(named, s, e)
+        _over_lines(text, base + start, base + end, named, add)
     for m in _LOGIN.finditer(line):
         if len(m.group(1)) >= 6:
             take(("password", False), *m.span(1))
@@ -271,16 +325,19 @@ def find(text: str | None) -> list[Finding]:
             if len(body) >= 32 and not is_placeholder(body):
                 add(m.start(), m.end(), "private_key")
     spans = set()
-    for hint in _HINTS:
+    for hint in (*_HINTS, *_SHORT_HINTS):
         at = low.find(hint)
         while at >= 0:
+            if hint in _SHORT_HINTS and not _whole_word(text, at, hint):
+                at = low.find(hint, at + 1)
+                continue
             start, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
             end = len(text) if end < 0 else end
             spans.add((start, end))
             at = low.find(hint, end)
     for start, end in sorted(spans):
         line = text[start:end]
-        _on_line(line, start, add)
+        _on_line(line, start, add, text)
         if (m := _ENTRY.match(line)) and (named := name_kind(m.group(1))):
             stop = text.find("\n", end + 1)
             after = text[end + 1 : stop if stop >= 0 else len(text)]
