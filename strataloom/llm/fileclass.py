@@ -163,21 +163,31 @@ def squeezed(text: str, path: str) -> bool:
     return blank < 0.2 and len(code) / len(lines) > 100 and (max(map(len, lines)) > 400 or ".min." in path)
 
 
+#: Blank lines and comments, as many as begin a text; marks of hand work and origin may stand there or soon after.
+_LEADING = re.compile(r"\s*+(?:(?:(?:#|//|--|;)[^\n]*+|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|\"\"\".*?(?:\"\"\"|\Z)|<\?(?:php|xml[^\n>]*\?>))\s*+)*+", re.S)
+
+
+def leading(text: str) -> int:
+    """Where the leading comments of a text end, at 4 000 characters at least."""
+    return max(4000, _LEADING.match(text).end())
+
+
 def shown(path: str, text: str) -> tuple[bool, bool, bool, bool]:
     """(generated, minified, declares another origin, data blob) by a file's path and text alone."""
     end = ending(path)
-    hand = bool(_BY_HAND.search(text, 0, 4000))
+    head = leading(text)
+    hand = bool(_BY_HAND.search(text, 0, head))
     code = end in CODE_ENDINGS
     generated = False
     if end != "md":
         generated = bool(_TOOL_HEADER.search(text)) and not hand
         if not generated and end in ("json", "lock", "yaml", "sum", ""):
-            generated = bool(_LOCK.search(text, 0, 2000)) or (end in ("json", "lock") and len(_PINNED.findall(text)) >= 5)
+            generated = bool(_LOCK.search(text)) or (end in ("json", "lock") and len(_PINNED.findall(text)) >= 5)
         if not generated and (code or end in ("yaml", "yml")) and not hand:
             generated = numbered(text)
     blob = code and data_share(text) >= 0.8
     minified = end in SQUEEZED_ENDINGS and not blob and squeezed(text, path)
-    origin = bool(_VENDOR_DIR.search(path)) or (code and bool(_ORIGIN.search(text, 0, 4000) or _BANNER.search(text)))
+    origin = bool(_VENDOR_DIR.search(path)) or (code and bool(_ORIGIN.search(text, 0, head) or _BANNER.search(text)))
     return generated, minified, origin, blob
 
 
@@ -216,7 +226,7 @@ def line_runs(text: str) -> list[int]:
 
 #: A mined path pattern holds from so many files on, in so many repositories, with such a share of generated ones.
 MINED_FILES, MINED_REPOSITORIES, MINED_SHARE = 8, 3, 0.8
-#: A file is a copy when this share of its runs of lines, and at least so many, stand in vendored files.
+#: A file is a copy when this share of its runs of lines, and at least so many, stand in vendored files, or when its runs are just those of one of them.
 COPIED_SHARE, COPIED_RUNS = 0.5, 4
 
 
@@ -253,7 +263,7 @@ def classify(documents: DataFrame, doc_id: str = "doc_id", path: str = "path", t
         generated, minified, origin, blob = shown(where, body)
         end = ending(where)
         code = end in CODE_ENDINGS
-        runs = line_runs(body) if code and not blob and not (generated and not origin) else []
+        runs = line_runs(body)
         yield key, repo, generated, minified, origin, blob, code or end in ("yaml", "yml"), path_patterns(where) if body else [], runs
 
     seen = cut(per_row(docs.select("doc_id", "repository", "path", "text"), look, f"doc_id {key_type}, repository string, generated boolean, minified boolean, origin boolean, blob boolean, code boolean, patterns array<string>, runs array<bigint>"))
@@ -271,7 +281,11 @@ def classify(documents: DataFrame, doc_id: str = "doc_id", path: str = "path", t
     # copies of vendored files
     library = seen.where("origin").select(F.explode("runs").alias("run")).distinct().withColumn("known", F.lit(1))
     own = seen.where(~F.col("origin") & (F.size("runs") > 0)).select("doc_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    copied = own.join(library, "run").groupBy("doc_id").agg(F.sum("known").alias("hits"), F.max("n").alias("n")).where((F.col("hits") >= COPIED_SHARE * F.col("n")) & (F.col("hits") >= COPIED_RUNS)).select("doc_id", F.lit(True).alias("copied"))
+    partly = own.join(library, "run").groupBy("doc_id").agg(F.sum("known").alias("hits"), F.max("n").alias("n")).where((F.col("hits") >= COPIED_SHARE * F.col("n")) & (F.col("hits") >= COPIED_RUNS)).select("doc_id")
+    # files of fewer runs are copies when their runs, which are sorted, are all those of a vendored file
+    few = seen.where((F.size("runs") > 0) & (F.size("runs") < COPIED_RUNS)).select("doc_id", "origin", F.concat_ws(",", F.col("runs").cast("array<string>")).alias("all_runs"))
+    wholly = few.where(~F.col("origin")).join(few.where("origin").select("all_runs"), "all_runs", "left_semi").select("doc_id")
+    copied = partly.unionByName(wholly).distinct().withColumn("copied", F.lit(True))
 
     out = seen.drop("patterns", "runs").join(by_pattern, "doc_id", "left").join(copied, "doc_id", "left")
     said = _declared_paths(docs)
