@@ -91,6 +91,21 @@ def _flexible(text: str) -> str:
     return r"\s*".join(out)
 
 
+#: What may stand between two words of a statement in a raw text: blanks, comment marks and item numbers.
+_BETWEEN = r"[\W\d_]+"
+# Lower-case patterns, one of which every sentence form, tag and form without a catalogue name holds, whatever license it names.
+_HINTS = (
+    "licen", "lizenz", "spdx", "proprietary", "confidential", f"rights{_BETWEEN}reserved", f"governed{_BETWEEN}by",
+    rf"(?:offered|distributed|released|available|provided|published|shared){_BETWEEN}under\b", rf"you{_BETWEEN}may{_BETWEEN}(?:use|copy|share|redistribute|distribute){_BETWEEN}this",
+)
+
+
+def _opening(text: str) -> str:
+    """A lower-case pattern of the first two words of a notice or of terms, item marks apart."""
+    bare = re.sub(r"^\s*(?:\(?\d{1,2}[.)]|[-*•])\s+", "", text.strip())
+    return _BETWEEN.join(map(re.escape, bare.lower().split()[:2]))
+
+
 class Grammar:
     """The catalogue's statements."""
 
@@ -116,9 +131,10 @@ class Grammar:
         self.bodies = [(re.compile(_flexible(c.body) + r"\s*", flags), c.license_id) for c in catalogue if c.body]
         title = "|".join(r"\s+".join(map(re.escape, t.split())) for t in sorted({c.title for c in catalogue}, key=len, reverse=True))
         self.title = re.compile(rf"(?:the\s+)?(?P<name>{title})(?:{_VERSION.replace('_N', '_1')})?(?:\s*\((?P<id>[\w.+-]+)\))?[.:]?\s*", flags)
-        hints = {"licen", "spdx", "lizenz", "rights reserved", "proprietary", *(max(c.title.lower().split(), key=len) for c in catalogue), *(k.split("-")[0] + "-" for k in self.ids)}
-        first = {re.sub(r"^\s*\d+[.)]\s*", "", c.body).lower()[:24] for c in catalogue if c.body}
-        self.hint = re.compile("|".join(sorted(map(re.escape, {*hints, *(f.split(" ")[0] + " " + f.split(" ")[1] for f in first if " " in f)}))))
+        words = {max(c.title.lower().split(), key=len) for c in catalogue} | {k.split("-")[0] + "-" for k in self.ids}
+        self.starts = [(re.compile(_opening(c.body)), pattern) for c, (pattern, _) in zip([c for c in catalogue if c.body], self.bodies, strict=True)]
+        openings = {_opening(t) for c in catalogue for t in (c.notice, c.body) if t and t.strip()}
+        self.hint = re.compile("|".join((*_HINTS, *sorted(map(re.escape, words)), *sorted(openings))))
 
     def resolve(self, name: str, versions: list[str]) -> str | None:
         plain = " ".join(name.lower().split())
@@ -259,6 +275,24 @@ def paragraphs(text: str):
         yield kept
 
 
+def _run(grammar: Grammar, blocks: list[list[str]], i: int) -> tuple[int, list[str]] | None:
+    """Full terms that begin in block *i* and go on in the next ones: (the block behind, what the run of blocks states)."""
+    first = "\n".join(blocks[i])
+    low, rest = first.lower(), None
+    for start, pattern in grammar.starts:
+        for m in start.finditer(low):
+            if rest is None:
+                rest, ends, at = "\n".join("\n".join(b) for b in blocks[i:]), {}, -1
+                for j, b in enumerate(blocks[i:], i + 1):
+                    at += sum(map(len, b)) + len(b)
+                    ends[at] = j
+            found = pattern.match(rest, m.start())
+            end = len(rest[: found.end()].rstrip()) if found else -1
+            if end in ends and (got := grammar.complete(rest[:end])):
+                return ends[end], got
+    return None
+
+
 def statements(grammar: Grammar, path: str, text: str) -> set[str]:
     """The expressions (and OUTSIDE) that a file states about itself."""
     said: set[str] = set()
@@ -279,11 +313,16 @@ def statements(grammar: Grammar, path: str, text: str) -> set[str]:
                 if not found and blocks and not pointer:
                     found = {OUTSIDE}
             return said | found
-        for block in blocks:
+        behind = 0
+        for i, block in enumerate(blocks):
+            if i < behind:
+                continue
             joined = "\n".join(block)
             if not grammar.hint.search(joined.lower()):
                 continue
             got = grammar.complete(joined)
+            if not got and (run := _run(grammar, blocks, i)):
+                behind, got = run
             if not got:
                 got = [w for line in block for w in grammar.complete(line)]
             said |= {w for w in got if not w.startswith("<title>")}
