@@ -8,6 +8,7 @@ from, to, resolution).
 
 from __future__ import annotations
 
+import sys
 from typing import NamedTuple
 
 import pandas as pd
@@ -28,10 +29,12 @@ class Options(NamedTuple):
     kinds: tuple[str, ...] = ()
     resolutions: tuple[str, ...] = ()
     unresolved: bool = False  # whether unresolved edges count
+    capped: bool = True  # whether *nodes* holds; without, the nodes of a level share one rank
 
     def filled(self) -> Options:
         depth = DEPTH_DEFAULT if self.depth <= 0 else min(self.depth, DEPTH_MOST)
         nodes = NODES_DEFAULT if self.nodes <= 0 else min(self.nodes, NODES_MOST)
+        nodes = nodes if self.capped else sys.maxsize
         return self._replace(depth=depth, nodes=nodes, direction=self.direction or "both")
 
 
@@ -78,8 +81,11 @@ def _discover(frontier: DataFrame, moves: DataFrame, visited: DataFrame) -> Data
 def _ranked(found: DataFrame, base: int, room: int) -> DataFrame:
     """The first *room* discoveries by (rank of the discoverer, id, edge), numbered on from *base*.
 
-    *room* is at most NODES_MOST, so the numbered rows are few however large the level.
+    *room* is at most NODES_MOST, so the numbered rows are few however large the level; without
+    a cap all rows stay, and share the rank of the last before them.
     """
+    if room > NODES_MOST:
+        return found.withColumn("rank", F.lit(min(base, 2**31 - 1)))
     top = found.orderBy("prank", "next", "edge_id").limit(room)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("prank", "next", "edge_id")) + F.lit(base))
 

@@ -83,19 +83,19 @@ def graph_expand(spark: SparkSession, folder: str) -> DataFrame:
 
 def neighborhood(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes by their distance from one customer, within three steps."""
-    n = G.neighborhood(cut(views.graph_edges(spark, folder)), "c:1", G.Options(depth=3, nodes=G.NODES_MOST))
+    n = G.neighborhood(cut(views.graph_edges(spark, folder)), "c:1", G.Options(depth=3, capped=False))
     return n.nodes.select("id", F.col("depth").cast("bigint").alias("depth"))
 
 
 def impact(spark: SparkSession, folder: str) -> DataFrame:
     """What leads to a nation within two steps, against the direction of the edges."""
-    n = G.impact(cut(views.graph_edges(spark, folder)), "n:3", G.Options(direction="incoming", depth=2, nodes=G.NODES_MOST))
+    n = G.impact(cut(views.graph_edges(spark, folder)), "n:3", G.Options(direction="incoming", depth=2, capped=False))
     return n.nodes.select("id", F.col("depth").cast("bigint").alias("depth"))
 
 
 def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
     """The length and the ends of a path between a region and a part."""
-    p = G.shortest_path(cut(views.graph_edges(spark, folder)), "r:0", "s:2", G.Options(depth=8, nodes=G.NODES_MOST))
+    p = G.shortest_path(cut(views.graph_edges(spark, folder)), "r:0", "s:2", G.Options(depth=8, capped=False))
     return spark.createDataFrame([(p.found, len(p.edges), p.nodes[0] if p.nodes else "", p.nodes[-1] if p.nodes else "")], "found boolean, length bigint, first string, last string")
 
 
