@@ -1,23 +1,28 @@
 """Evaluation texts inside training texts.
 
 A document leaks an item when it holds ``words`` consecutive words of the item,
-or all of its words in a row if it has fewer, up to ``max_edits`` word edits.
-Words are longest runs of letters and digits, without case.
-
-Windows of words are embedded by a CGK random walk: a shared random bit for
-each (step, word) says whether the walk over the window moves on, and the word
-read at each step is the output.  Windows at a small edit distance get outputs
-at a small Hamming distance, equal windows equal ones.  Bit sampling over the
-outputs gives LSH keys; a document window that meets an item window under a key
-is verified by exact edit distance.  With ``max_edits=0`` one repetition finds
-everything; with more, ``repetitions`` sets the recall.
-
-A window with more than ``max_edits`` words that no item holds can't match, so
-such windows are skipped before they are embedded.
+or all of its words in a row if it has fewer, up to ``max_edits`` word edits
+(replaced, left out or put in).  Words are longest runs of letters and digits,
+without case.  Of an item of few words at most a quarter may be edited.
+
+Windows of words are embedded by a CGK random walk: a random bit, hashed from
+the step and the word read, says whether the walk over the window moves on, and
+the word read at each step is the output.  Windows at a small edit distance get
+outputs at a small Hamming distance, equal windows equal ones.  Bit sampling
+over the outputs gives LSH keys; a document window that meets an item window
+under a key is verified by exact edit distance.  Document windows have all
+sizes from ``words - max_edits`` to ``words + max_edits``.  With ``max_edits=0``
+one repetition finds everything; with more, ``repetitions`` sets the recall.
+
+A window with more than ``max_edits`` words, or more than twice as many pairs of
+neighbours, that no item holds can't match, so such windows are skipped before
+they are embedded.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,102 +36,176 @@ from ._texts import per_row
 _WORD = re.compile(r"[^\W_]+")
 #: Words of items that one pass over the documents holds; more items take more passes.
 BLOCK_WORDS = 1_000_000
+#: Repetitions and sampled outputs where edits are allowed.
+EDIT_REPETITIONS, EDIT_SAMPLED = 24, 6
+#: Document windows that are embedded at once.
+_AT_ONCE = 65_536
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def edits_of(size: int, max_edits: int) -> int:
+    """The edits that a window of an item may have: a quarter of its words at most."""
+    return min(max_edits, size // 4)
+
+
 class Embedding:
-    """CGK walks and sampled positions for windows of one size."""
+    """CGK walks and sampled outputs for windows about one size.
+
+    Bits are hashed from (step, word), so nothing is held for a word but one
+    random number.
+    """
 
-    def __init__(self, size: int, vocabulary: int, repetitions: int, sampled: int, seed: int):
+    def __init__(self, size: int, edits: int, word_hashes: np.ndarray, repetitions: int, sampled: int, seed: int):
         rnd = np.random.default_rng([seed, size])
-        self.size, self.steps = size, 3 * size
-        # one column more for the end of the window, on which the walk stays
-        self.bits = rnd.integers(0, 2, (repetitions, self.steps, vocabulary + 1), dtype=np.int8)
-        self.bits[:, :, vocabulary] = 0
-        self.end = vocabulary
-        self.places = [np.sort(rnd.choice(self.steps, min(sampled, self.steps), replace=False)) for _ in range(repetitions)]
-        self.odd = rnd.integers(1, 2**62, (repetitions, self.steps), dtype=np.int64) * 2 + 1
+        self.steps = 3 * (size + edits)
+        self.hashes, self.end = word_hashes, len(word_hashes) - 1
+        # windows that agree at the end of their walks say little, so outputs are sampled where walks still read words
+        self.places = [np.sort(rnd.choice(2 * size, min(sampled, 2 * size), replace=False)) for _ in range(repetitions)]
+        odd = lambda: rnd.integers(0, 2**63, (repetitions, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.turn, self.mix = odd(), odd()
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
         """LSH keys (repetitions x windows) of rows of word numbers."""
-        n = len(windows)
-        out = np.zeros((len(self.places), n), dtype=np.int64)
-        padded = np.hstack([windows, np.full((n, 1), self.end, dtype=windows.dtype)])
-        rows = np.arange(n)
+        n, size = windows.shape
+        out = np.zeros((len(self.places), n), dtype=np.uint64)
+        padded = np.hstack([windows, np.full((n, 1), self.end, dtype=windows.dtype)]).ravel()
+        first = np.arange(n, dtype=np.int64) * (size + 1)
+        top = np.uint64(63)
         for r, places in enumerate(self.places):
             at = np.zeros(n, dtype=np.int64)
             wanted = set(places.tolist())
             for j in range(int(places[-1]) + 1):
-                read = padded[rows, at]
+                read = self.hashes[padded[first + at]]
                 if j in wanted:
-                    out[r] += (read.astype(np.int64) + 1) * self.odd[r, j]
-                    out[r] ^= out[r] >> 29
-                at += self.bits[r, j][read]
-                np.minimum(at, self.size, out=at)
+                    out[r] += read * self.mix[r, j]
+                    out[r] ^= out[r] >> np.uint64(29)
+                at += ((read * self.turn[r, j]) >> top).astype(np.int64)
+                np.minimum(at, size, out=at)
         return out
 
 
 def within(a: list[int], b: list[int], most: int) -> bool:
     """Whether the edit distance of two short sequences is at most *most*."""
-    if most == 0 or a == b:
-        return a == b
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return False
-    return row[-1] <= most
+    return bool(all_within(np.array([a], dtype=np.int64).reshape(1, -1), np.array([b], dtype=np.int64).reshape(1, -1), most)[0])
+
+
+def all_within(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Row by row, whether the edit distance of two arrays of sequences is at most *most*; only the band about the diagonal is filled."""
+    n, wide, high = len(a), a.shape[1], b.shape[1]
+    if abs(wide - high) > most:
+        return np.zeros(n, dtype=bool)
+    if most == 0:
+        return (a == b).all(axis=1)
+    far = np.full(n, most + 1, dtype=np.int64)
+    row = [np.full(n, j, dtype=np.int64) if j <= most else far for j in range(high + 1)]
+    for i in range(1, wide + 1):
+        fresh = [np.full(n, i, dtype=np.int64) if i <= most else far]
+        for j in range(1, high + 1):
+            if abs(i - j) > most:
+                fresh.append(far)
+            else:
+                fresh.append(np.minimum(np.minimum(row[j], fresh[j - 1]) + 1, row[j - 1] + (a[:, i - 1] != b[:, j - 1])))
+        row = fresh
+    return row[high] <= most
 
 
 class ItemIndex:
-    """LSH tables of the windows of a bounded block of items."""
+    """LSH tables of the windows of a bounded block of items.
+
+    Each different window is held once, with the items that have it, so text
+    shared by many items is verified once.
+    """
 
     def __init__(self, items: list[tuple[object, str]], words: int, max_edits: int, repetitions: int, sampled: int, seed: int):
-        self.max_edits = max_edits
         self.number: dict[str, int] = {}
         listed = [(key, [self.number.setdefault(w, len(self.number)) for w in words_of(text or "")]) for key, text in items]
-        self.unknown = len(self.number)  # any word of no item
-        by_size: dict[int, list] = defaultdict(list)
+        self.unknown = len(self.number)  # any word of no item; the number after it stands for the end of a window
+        hashes = np.random.default_rng(seed).integers(0, 2**63, self.unknown + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        pairs = [np.array(ids[:-1], dtype=np.int64) * (self.unknown + 1) + np.array(ids[1:], dtype=np.int64) for _, ids in listed if len(ids) > 1]
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.int64)
+        holders: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
         for key, ids in listed:
-            if ids:
-                by_size[min(words, len(ids))].append((key, ids))
-        self.tables = {}
-        for size, some in sorted(by_size.items()):
-            embedding = Embedding(size, self.unknown + 1, repetitions, sampled, seed)
-            table: dict[int, list] = defaultdict(list)
-            for key, ids in some:
-                windows = np.lib.stride_tricks.sliding_window_view(np.array(ids, dtype=np.int64), size)
-                for row in embedding.keys(windows):
-                    for k, w in zip(row.tolist(), windows.tolist(), strict=True):
-                        table[k].append((key, w))
-            self.tables[size] = (embedding, dict(table), np.array(sorted(table), dtype=np.int64))
+            size = min(words, len(ids))
+            for i in range(len(ids) - size + 1 if ids else 0):
+                holders[size][tuple(ids[i : i + size])].add(key)
+        self.tables = []
+        for size, held in sorted(holders.items()):
+            edits = edits_of(size, max_edits)
+            embedding = Embedding(size, edits, hashes, repetitions if edits else 1, sampled, seed)
+            windows = list(held)
+            keys = embedding.keys(np.array(windows, dtype=np.int64))
+            # per repetition: sorted keys and the windows under them
+            order = np.argsort(keys, axis=1, kind="stable")
+            self.tables.append((size, edits, embedding, np.array(windows, dtype=np.int64), list(held.values()), np.take_along_axis(keys, order, axis=1), order))
 
     def found(self, text: str) -> Iterator[object]:
         """Keys of the items that the text holds."""
         get, unknown = self.number.get, self.unknown
         ids = np.fromiter((get(w, unknown) for w in words_of(text)), dtype=np.int64)
+        if not len(ids) or (ids == unknown).all():
+            return
         strange = np.concatenate([[0], np.cumsum(ids == unknown)])
-        done = set()
-        for size, (embedding, table, known) in self.tables.items():
-            if len(ids) < size:
-                continue
-            starts = np.flatnonzero(strange[size:] - strange[:-size] <= self.max_edits)
-            for i in range(0, len(starts), 65536):
-                part = starts[i : i + 65536]
-                windows = ids[part[:, None] + np.arange(size)]
-                for row in embedding.keys(windows):
-                    place = np.minimum(np.searchsorted(known, row), len(known) - 1)
-                    for j in np.flatnonzero(known[place] == row).tolist():
-                        here = windows[j].tolist()
-                        for key, window in table[int(row[j])]:
-                            if key not in done and within(here, window, self.max_edits):
-                                done.add(key)
-                                yield key
+        pairs = ids[:-1] * (unknown + 1) + ids[1:]
+        place = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
+        odd = np.concatenate([[0], np.cumsum(self.pairs[place] != pairs if len(self.pairs) else np.ones(len(pairs), dtype=bool))])
+        done: set = set()
+        for size, edits, embedding, windows, holders, keys, order in self.tables:
+            met = np.zeros(len(windows), dtype=bool)
+            for length in range(size - edits, size + edits + 1):
+                if len(ids) < length:
+                    continue
+                starts = np.flatnonzero((strange[length:] - strange[:-length] <= edits) & (odd[length - 1 :] - odd[: len(odd) - length + 1] <= 2 * edits))
+                for i in range(0, len(starts), _AT_ONCE):
+                    # repeated windows of a text are looked at once
+                    here = np.unique(ids[starts[i : i + _AT_ONCE, None] + np.arange(length)], axis=0)
+                    for r, row in enumerate(embedding.keys(here)):
+                        for w in self._verified(here, row, windows, keys[r], order[r], met, edits):
+                            yield from holders[w] - done
+                            done |= holders[w]
+
+    @staticmethod
+    def _verified(here: np.ndarray, row: np.ndarray, windows: np.ndarray, keys: np.ndarray, order: np.ndarray, met: np.ndarray, edits: int) -> list[int]:
+        """Numbers of the item windows, not met before, that a document window meets under a key and is close to."""
+        low, high = np.searchsorted(keys, row, "left"), np.searchsorted(keys, row, "right")
+        counts = high - low
+        at, out = 0, []
+        ends = np.cumsum(counts)
+        while at < len(here):
+            # so many document windows that their partners fit a batch
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _AT_ONCE, "right")))
+            n = counts[at:upto]
+            mine = np.repeat(np.arange(at, upto), n)
+            theirs = order[np.repeat(low[at:upto], n) + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)]
+            fresh = ~met[theirs]
+            mine, theirs = mine[fresh], theirs[fresh]
+            if len(mine):
+                close = np.unique(theirs[all_within(here[mine], windows[theirs], edits)])
+                met[close] = True
+                out += close.tolist()
+            at = upto
+        return out
+
+
+@functools.lru_cache(maxsize=2)
+def _index(block: _Block) -> ItemIndex:
+    return ItemIndex(block.items, *block.how)
+
+
+class _Block:
+    """A block of items, equal to any other with the same digest, so that a Python worker builds its index once."""
+
+    def __init__(self, items: list[tuple[object, str]], how: tuple):
+        self.items, self.how = items, how
+        self.digest = hashlib.sha256(repr((items, how)).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def __hash__(self) -> int:
+        return hash(self.digest)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Block) and self.digest == other.digest
 
 
 def leaked(
@@ -139,7 +218,7 @@ def leaked(
     words: int = 12,
     max_edits: int = 0,
     repetitions: int | None = None,
-    sampled: int = 8,
+    sampled: int | None = None,
     seed: int = 7,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
@@ -152,7 +231,7 @@ def leaked(
     columns are ignored.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    reps = repetitions or (1 if max_edits == 0 else 24)
+    how = (words, max_edits, repetitions or (EDIT_REPETITIONS if max_edits else 1), sampled or (EDIT_SAMPLED if max_edits else 8), seed)
     texts = items.select(as_col(item_id).alias("item_id"), as_col(item_text).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (block_words * 6)))
@@ -161,10 +240,10 @@ def leaked(
     out = None
     for b in range(blocks):
         part = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = [(r.item_id, r.text) for r in part.collect()]
+        held = _Block([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], how)
 
         def setup(held=held) -> dict:
-            return {"index": ItemIndex(held, words, max_edits, reps, sampled, seed)}
+            return {"index": _index(held)}
 
         def pairs(key, body, index: ItemIndex):
             return ((key, item) for item in index.found(body))

@@ -81,6 +81,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
+def p7_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_found, with up to one word of a passage replaced, left out or put in."""
+    return leaks.leaked(_documents(spark, folder), table(spark, folder, "eval_items"), max_edits=1)
+
+
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     """Every item with the number of documents that hold it."""
     counts = p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"))
@@ -114,6 +119,7 @@ QUERIES = {
     "p6_failures": p6_failures,
     "p6_rates": p6_rates,
     "p7_found": p7_found,
+    "p7_edited": p7_edited,
     "p7_items": p7_items,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
