@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources.tables import bare, latest, table
+from ..sources.tree import detect_language
 from . import fileclass, leaks, licenses, mixing, secrets, splitting, syntax
 
 
@@ -13,16 +15,27 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
-def with_language(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    """The documents' columns with ``language``, that of the valid row of their artifact (null if none).
+#: So many documents whose language isn't that of their path may be broadcast, as ids and short names.
+MOST_ODD = 1_000_000
 
-    Only keys and languages of the artifacts are moved; each key is unique on
-    both sides, so no group is large.
+
+def with_language(spark: SparkSession, folder: str, columns: list[str], most_odd: int = MOST_ODD) -> DataFrame:
+    """The documents' columns with ``language``, that of the valid row of their artifact ('' if none).
+
+    Texts stay where they are read: a path mostly tells its artifact's language,
+    so keys alone are joined (each is unique on both sides), and only the
+    documents whose language is another one are brought to the texts, by
+    broadcast up to *most_odd* of them and by a shuffle of the texts beyond.
     """
     known = table(spark, folder, "artifacts").select(bare("snapshot_id").alias("_s"), bare("artifact_id").alias("_a"), "received_at", "language").where(F.col("_s").isNotNull() & F.col("_a").isNotNull())
     known = latest(known, ["_s", "_a"], ["received_at"], ["language"])
-    docs = _documents(spark, folder).select(bare("snapshot_id").alias("_s"), bare("artifact_id").alias("_a"), *columns)
-    return docs.join(known.hint("shuffle_hash"), ["_s", "_a"], "left").drop("_s", "_a")
+    by_path = detect_language(F.coalesce("path", F.lit("")))
+    keys = _documents(spark, folder).select(bare("snapshot_id").alias("_s"), bare("artifact_id").alias("_a"), F.col("doc_id").alias("_doc"), by_path.alias("_guess"))
+    joined = keys.join(known.hint("shuffle_hash"), ["_s", "_a"], "left").select("_doc", F.coalesce("language", F.lit("")).alias("_own"), "_guess")
+    odd = cut(joined.where(F.col("_own") != F.col("_guess")).select("_doc", "_own").groupBy("_doc").agg(F.max("_own").alias("_own")))
+    few = odd.limit(most_odd + 1).count() <= most_odd
+    docs = _documents(spark, folder).withColumn("_guess", by_path).select(*columns, F.col("doc_id").alias("_doc"), "_guess")
+    return docs.join(F.broadcast(odd) if few else odd.hint("shuffle_hash"), "_doc", "left").select(*columns, F.coalesce("_own", "_guess").alias("language"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,18 +42,28 @@ class Piece(NamedTuple):
     n_tokens: int
 
 
-#: Characters that a pattern looks at behind the cut.
-_AHEAD = 400
+class Boundaries:
+    """The ends of all boundaries of a text, by strength; each strength is looked up in the whole text once, when asked for."""
 
+    def __init__(self, text: str):
+        self.text = text
+        self.ends: list[list[int]] = []
 
-def _strongest(text: str, low: int, high: int) -> list[int]:
-    """Positions of the strongest kind of boundary from *low* to *high*."""
-    stop = min(len(text), high + _AHEAD)
-    for _, pattern in _BOUNDARIES:
-        found = [e for m in pattern.finditer(text, max(0, low - 4), stop) if low <= (e := m.end()) <= high]
-        if found:
-            return found
-    return []
+    def strongest(self, low: int, high: int) -> list[int]:
+        """Places of the strongest kind of boundary from *low* to *high*."""
+        for i, (_, pattern) in enumerate(_BOUNDARIES):
+            if i == len(self.ends):
+                self.ends.append([m.end() for m in pattern.finditer(self.text)])
+            ends = self.ends[i]
+            first = bisect.bisect_left(ends, low)
+            last = bisect.bisect_right(ends, high, first)
+            if last > first:
+                return ends[first:last]
+        return []
+
+
+#: A table of more languages' limits isn't taken as one.
+MOST_LIMITS = 10_000
 
 
 def split(text: str, max_tokens: int, overlap_tokens: int, path: str) -> list[Piece]:
@@ -71,6 +81,7 @@ def split(text: str, max_tokens: int, overlap_tokens: int, path: str) -> list[Pi
     overlap = max(0, min(overlap_tokens, limit - 1))
     cap = limit - overlap
     offsets = tokens.starts(text, ids, path)
+    boundaries = Boundaries(text)
     # tokens before a character; several tokens may start within one character
     place = lambda char: bisect.bisect_left(offsets, char)
 
@@ -79,7 +90,7 @@ def split(text: str, max_tokens: int, overlap_tokens: int, path: str) -> list[Pi
         middle = (a + b) / 2
         low = offsets[min(int(a + (b - a) * MIDDLE), len(offsets) - 1)]
         high = offsets[min(int(b - (b - a) * MIDDLE), len(offsets) - 1)]
-        found = _strongest(text, max(low, start + 1), min(high, end - 1))
+        found = boundaries.strongest(max(low, start + 1), min(high, end - 1))
         if found:
             return min(found, key=lambda p: (abs(place(p) - middle), p))
         p = offsets[min(int(middle), len(offsets) - 1)]
@@ -109,7 +120,8 @@ def split(text: str, max_tokens: int, overlap_tokens: int, path: str) -> list[Pi
             todo += [(c, e), (s, c)]
             continue
         while n > limit and begin < s:
-            begin += 1
+            # leave out so many tokens of the overlap as are over, one at least
+            begin = min(s, max(begin + 1, offsets[min(place(begin) + n - limit, len(offsets) - 1)]))
             n = len(encode(text[begin:e]))
         out.append(Piece(begin, s, e, n))
     return out
@@ -118,15 +130,19 @@ def split(text: str, max_tokens: int, overlap_tokens: int, path: str) -> list[Pi
 def pieces(documents: DataFrame, limits: DataFrame, doc_id: str | Column = "doc_id", text: str | Column = "text", lang: str | Column = "lang", tokenizer_path: str | None = None, keep_short: bool = False) -> DataFrame:
     """(doc_id, piece, start, core_start, end, n_tokens, text) of texts over their language's limit.
 
-    limits: (lang, max_tokens, overlap_tokens), one row per language, a few
-    rows; ``default`` holds for languages without a row and for null.  Texts
+    limits: (lang, max_tokens, overlap_tokens), one row per language, at most
+    MOST_LIMITS; of repeated languages the lowest limit counts; ``default`` holds for
+    languages without a row and for null.  Texts
     within the limit give no rows, or one with *keep_short*.  Null and empty
     texts give none.  A single character of more tokens than the limit is a
     piece of its own.  Without a default a language without a row has no limit.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     path = tokenizer_path or tokens.default_path()
-    table = {r.lang: (r.max_tokens, r.overlap_tokens or 0) for r in limits.where(F.col("max_tokens").isNotNull()).select("lang", "max_tokens", "overlap_tokens").collect()}
+    rows = limits.where(F.col("max_tokens").isNotNull()).select("lang", "max_tokens", "overlap_tokens").limit(MOST_LIMITS + 1).collect()
+    if len(rows) > MOST_LIMITS:
+        raise ValueError(f"limits of more than {MOST_LIMITS} languages")
+    table = {r.lang: (r.max_tokens, r.overlap_tokens or 0) for r in sorted(rows, key=lambda r: (r.max_tokens, r.overlap_tokens or 0), reverse=True)}
     docs = documents.select(as_col(doc_id).alias("doc_id"), as_col(lang).alias("lang"), as_col(text).alias("text")).where(F.col("text").isNotNull())
 
     def cut_up(key, language, body):
