@@ -21,10 +21,12 @@ from ._texts import per_row
 #: The part of a span, on either side of its midpoint, in which a boundary is sought.
 MIDDLE = 0.25
 
+# All blank lines in a row; begun behind a line's last character only, so that long runs of blanks are read once.
+_BLANK_LINES = r"(?<=\S)[^\S\n]*+\n(?:[^\S\n]*+\n)++"
 # Boundaries by strength; the cut lies at the end of the match.
 _BOUNDARIES = [
-    (9, re.compile(r"\n\s*\n(?=#{1,2} |\S[^\n]*\n(?:=+|-+)\s*\n)")),  # a chapter of a Markdown text
-    (8, re.compile(r"\n\s*\n(?=(?:#{3,6} |(?:async\s+)?def |class |func |type |export |(?:async\s+)?function |CREATE |\[|@\w))")),  # sections, top-level definitions
+    (9, re.compile(_BLANK_LINES + r"(?=#{1,2} |\S[^\n]*+\n(?:=++|-++)[^\S\n]*+\n)")),  # a chapter of a Markdown text
+    (8, re.compile(_BLANK_LINES + r"(?=(?:#{3,6} |(?:async\s+)?def |class |func |type |export |(?:async\s+)?function |CREATE |\[|@\w))")),  # sections, top-level definitions
     (7, re.compile(r"\n[ \t]*\r?\n(?=\S)")),  # a blank line before a line without indent
     (6, re.compile(r"\n[ \t]*\r?\n")),  # any blank line
     (5, re.compile(r"\r\n|\n|\r")),  # a line end

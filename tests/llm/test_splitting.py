@@ -66,3 +66,16 @@ def test_pieces(spark):
         assert "".join(r.text[r.core_start - r.start :] for r in sorted((r for r in got if r.doc_id == k), key=lambda r: r.piece)) == long
     assert {r.doc_id for r in S.pieces(d, limits, keep_short=True).collect()} == {1, 2, 3, 6}
     assert S.pieces(d.limit(0), limits).collect() == [] and S.pieces(d, limits.limit(0)).collect() == []
+
+
+def test_boundaries_are_those_of_the_whole_text():
+    # a heading line longer than any look-ahead, and long runs of blanks and line ends
+    body = "word " * 60
+    title = "T" * 900
+    text = f"{body}\n\n{body}\n\n{title}\n{'=' * 900}\n\n{body}\n{body}"
+    ends = S.Boundaries(text).strongest(1, len(text))
+    assert ends == [text.index(title)]
+    gap = "\n" * 60_000 + " " * 60_000
+    assert S.Boundaries(f"a{gap}\n\n# b").strongest(1, 200_000) == [len(gap) + 3]
+    parts = S.split(f"{body}{gap}{body}", 64, 0, PATH)
+    assert "".join(f"{body}{gap}{body}"[p.start : p.end] for p in parts) == f"{body}{gap}{body}"
