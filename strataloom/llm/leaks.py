@@ -37,7 +37,7 @@ _WORD = re.compile(r"[^\W_]+")
 #: Words of items that one pass over the documents holds; more items take more passes.
 BLOCK_WORDS = 1_000_000
 #: Repetitions and sampled outputs where edits are allowed.
-EDIT_REPETITIONS, EDIT_SAMPLED = 24, 6
+EDIT_REPETITIONS, EDIT_SAMPLED = 12, 4
 #: Document windows that are embedded at once.
 _AT_ONCE = 65_536
 
