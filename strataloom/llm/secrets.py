@@ -1,11 +1,13 @@
 """Credentials embedded in texts: finding and redacting their literals.
 
-A text is tokenised lexically around credential-named identifiers, whose line
-breaks and triple quotes don't end the search for a literal: it counts when it is assigned or passed to such a name (``api_key = "..."``,
-``--bot-token ...``, ``{"password": "..."}``, ``WithAccessKey("...")``, ``the
-password is ...``), when it stands in the login part or a token parameter of a
-URL, in a connection string or an authorisation header, when it is a private
-key block, or when it has the form of a known kind of token.  Placeholders,
+A text is split into tokens (``lexing``), and string literals that are assigned
+or passed to a credential-named word or key are bound to it, over line breaks,
+comments, types and wrapping calls (``api_key = (\n "..."``, ``WithAccessKey("...")``,
+``{"password": "..."}``, also with escaped quotes within another string, and
+block scalars).  Where a text isn't code, forms of lines tell the rest: unquoted
+values and prose (``--bot-token ...``, ``the password is ...``), the login part or
+a token parameter of a URL, connection strings and authorisation headers.
+Private key blocks and known forms of tokens count anywhere.  Placeholders,
 references to other places, digests, public keys, ids and labels don't count.
 
 Redaction replaces the inside of a literal only; quotes, escapes, indents and
@@ -18,12 +20,14 @@ import base64
 import binascii
 import hashlib
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._texts import per_row
+from .lexing import BLOCK, COMMENT, LINE, OPERATOR, STRING, WORD, Token, tokens
 
 # --- Names -----------------------------------------------------------------
 
@@ -46,6 +50,7 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _SPLIT = re.compile(r"[^A-Za-z]+")
 
 
+@lru_cache(maxsize=200_000)
 def name_kind(name: str) -> tuple[str, bool] | None:
     """(kind, weak) of a credential name, else None.
 
@@ -93,6 +98,18 @@ def looks_random(value: str) -> bool:
     return len(value) >= 12 and not re.search(r"\s", value) and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
+# Words of messages about passwords, which no passphrase is thought to hold.
+_MESSAGE = re.compile(r"(?i)\b(?:pass(?:word|wort|phrase|code)s?|kennwort|must|enter|please|bitte|your|required|invalid|incorrect|wrong|missing|characters?|forgot(?:ten)?|change|confirm|should|cannot|can't|not|is|are|the|of|for|to)\b")
+
+
+def is_passphrase(value: str, weak: bool) -> bool:
+    """A quoted password with blanks in one line: four words or a digit or sign within one, and nothing that a message says."""
+    words = value.split(" ")
+    if weak or not 12 <= len(value) <= 80 or re.search(r"[\r\n\t]|[.?!:]$", value) or "" in words or _MESSAGE.search(value) or is_placeholder(value):
+        return False
+    return (len(words) >= 4 and all(w.isalpha() for w in words)) or (len(words) >= 2 and any(re.search(r"\d", w) and re.search(r"[A-Za-z]", w) for w in words) and all(re.fullmatch(r"[\w!$%&+*#@~^-]+", w) for w in words))
+
+
 def is_secret(value: str, kind: str, weak: bool) -> bool:
     if len(value) < 4 or is_placeholder(value) or _NO_SECRET.search(value):
         return False
@@ -113,8 +130,16 @@ SHAPES = [
     (re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"), "api_key"),
     (re.compile(r"(?<![A-Za-z0-9_-])AIza[A-Za-z0-9_-]{30,}"), "api_key"),
     (re.compile(r"(?<![A-Za-z0-9_-])[a-z]{2}_live_[A-Za-z0-9]{16,}"), "api_key"),
+    (re.compile(r"(?<![A-Za-z0-9_-])gl(?:pat|dt|rt|ptt|cbt)-[A-Za-z0-9_-]{20,}"), "token"),
+    (re.compile(r"(?<![A-Za-z0-9_-])github_pat_[A-Za-z0-9_]{40,}"), "token"),
+    (re.compile(r"(?<![A-Za-z0-9_-])npm_[A-Za-z0-9]{30,}"), "token"),
+    (re.compile(r"(?<![A-Za-z0-9_-])pypi-[A-Za-z0-9_-]{40,}"), "token"),
+    (re.compile(r"(?<![A-Za-z0-9_-])hf_[A-Za-z0-9]{30,}"), "token"),
+    (re.compile(r"(?<![A-Za-z0-9])ASIA[0-9A-Z]{16}(?![0-9A-Za-z])"), "api_key"),
+    (re.compile(r"(?<![A-Za-z0-9_-])sk-(?:proj-|svcacct-|ant-)?(?=[A-Za-z_-]*\d)[A-Za-z0-9_-]{32,}"), "api_key"),
+    (re.compile(r"(?<![A-Za-z0-9_.-])SG\.[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{30,}"), "api_key"),
 ]
-_SHAPE_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glt-", "xox", "eyj", "akia", "aiza", "_live_")
+_SHAPE_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glt-", "xox", "eyj", "akia", "aiza", "_live_", "glpat-", "gldt-", "glrt-", "glptt-", "glcbt-", "github_pat_", "npm_", "pypi-", "hf_", "asia", "sk-", "sg.")
 
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:(?!-----BEGIN).)*?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", re.S)
 _USERINFO = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:([^\s/\"'`<>@]+)@[\w.\[\-]")
@@ -146,13 +171,7 @@ _ENTRY_VALUE = re.compile(r"^\s*[\"']?value[\"']?\s*:\s*(?:" + _QUOTED + r"|" +
 _SETTING = re.compile(r"^\s*(?:export\s+)?[\w.\"'-]+\s*[:=]\s*\S+\s*(?:#.*)?$")
 _REFERS = re.compile(r"(?i)pass|pwd|secret|token|key|user|config|value|input|args|param|self\.|this\.")
 
-# What may stand between a name and its literal where one of them isn't on the name's line, or has triple quotes.
-_GAP = r"(?:[ \t\r\n]|\\\r?\n|(?:#|//)[^\n]*\n)*"
-_LINKED = re.compile(_SHUT + _TYPE.replace(r"\s", r"[ \t]").replace("| ?]", "|]") + "(?:" + _GAP + r"(?:=>|:=|==?)|[ \t]*[:(])" + _GAP + _WRAP.replace(r"\(\s*", r"\(" + _GAP) + r"(\"\"\"|'''|[\"'`])")
-_ONE = re.compile(_QUOTED)
 _ELEMENT_OVER = re.compile(r">\s*([^<>\s]+)\s*</")
-_IS_KEY = re.compile(r"\\?[\"'`]?\s*:(?!:)")
-_CLASS_BEFORE = re.compile(r"\b(?:class|def|case)\s+$")
 
 
 def _shortest(words: set[str]) -> tuple[str, ...]:
@@ -202,34 +221,204 @@ def _group(m: re.Match, first: int) -> tuple[int, int] | None:
 _COMPOUND = re.compile(r"(?i)://|\b(?:bearer|basic)\s|(?:password|pwd)\s*=|-----BEGIN|authorization")
 
 
-def _over_lines(text: str, start: int, end: int, named: tuple[str, bool], add) -> None:
-    """The literal of the name [start, end) that begins on a later line, or in triple quotes."""
-
-    def take(s: int, e: int) -> None:
-        value = text[s:e]
-        s, e = s + len(value) - len(value.lstrip()), e - len(value) + len(value.rstrip())
-        if e > s and not _COMPOUND.search(text[s:e]) and is_secret(text[s:e], *named):
-            add(s, e, named[0])
-
-    opener = text[max(0, start - 64) : start]
-    if (m := _LINKED.match(text, end)) and not _CLASS_BEFORE.search(opener):
-        mark, at = m.group(1), m.start(1)
-        broken = "\n" in text[end:at]
-        if len(mark) == 3:
-            stop = text.find(mark, at + 3)
-            if stop >= 0:
-                take(at + 3, stop)
-        elif (v := _ONE.match(text, at)) and (broken or "\n" in v.group()) and not _IS_KEY.match(text, v.end()):
-            take(*_group(v, 1))
-    if _CALLED.search(opener) and (v := _DEFAULTED.match(text, end)) and "\n" in opener[opener.rfind("(") :] + v.group():
-        take(*_group(v, 1))
-    if opener.endswith(('key="', 'name="', "key='", "name='")) and (v := _ATTRIBUTE.match(text, end)) and "\n" in v.group():
-        take(*_group(v, 1))
-    if opener.endswith("<") and (v := _ELEMENT_OVER.match(text, end)) and "\n" in v.group():
-        take(*v.span(1))
-
-
-def _on_line(line: str, base: int, add, text: str) -> None:
+# --- Binding literals to names ----------------------------------------------
+
+_NAME_IN_STRING = re.compile(r"[A-Za-z_$][\w$]*(?:[-. ][\w$]+)*")
+_ESCAPED = re.compile(r'\\"|\\\'')
+# What binds a literal to the name before it, and calls whose second argument is a value for the name in the first.
+_BINDS = ("=", ":=", "=>", ":", "==", "??=", "||=", "(")
+_LOOKS_UP = re.compile(r"(?i)(?:get|env|environ|default|lookup|set|put|or_else|fetch)\w*$")
+_WORDS_BEFORE_NAMES = ("class", "def", "case", "func", "function", "import", "from", "package", "module", "interface", "struct", "enum", "if", "return")
+# Calls that stand for the literal they are given, and beginnings of calls that are never given a secret.
+_MAKES = ("String", "string", "str", "bytes", "byte", "Secret", "SecretStr", "SecretString", "Text", "Some", "from", "of", "encode", "literal", "Literal", "Ptr", "ptr", "required", "trim", "strip")
+_ASKS = re.compile(r"(?i)(?:get|read|ask|prompt|input|load|fetch|find|check|verify|hash|is|has|validate|parse|decode|make|new|gen|generate|create|rotate|revoke|delete|remove|lookup|resolve)(?:_|-|pass$|(?=[A-Z]))")
+#: Tokens of a type between a name and its operator, and of calls around a literal, that are passed over at most.
+_TYPE_TOKENS, _WRAPPERS = 12, 8
+
+
+class _Binder:
+    """Binds string literals of a token stream to the credential names before them."""
+
+    def __init__(self, text: str, low: int, high: int):
+        self.text, self.stream = text, tokens(text, low, high)
+
+    def _is(self, i: int, *marks: str) -> bool:
+        return 0 <= i < len(self.stream) and self.stream[i].kind == OPERATOR and self.text[self.stream[i].start : self.stream[i].end] in marks
+
+    def _past(self, i: int, lines: bool) -> int:
+        """The next token that says something, behind line ends (if they may be passed), continued lines and comments."""
+        while i < len(self.stream):
+            t = self.stream[i]
+            if t.kind == LINE and lines or t.kind == OPERATOR and self.text[t.start] == "\\" and t.end > t.start + 1:
+                i += 1
+            elif t.kind == COMMENT and lines and (self._first(i) or self.text[t.start] in "#/"):
+                i += 1
+                if self.text[t.start : t.end] == "/*":
+                    while i < len(self.stream) and not (self.stream[i].kind == COMMENT and self.text[self.stream[i].start : self.stream[i].end].endswith("*/")):
+                        i += 1
+                    i += 1
+                elif not self._marks_line(i - 1):
+                    while i < len(self.stream) and self.stream[i].kind != LINE:
+                        i += 1
+            else:
+                return i
+        return i
+
+    def _first(self, i: int) -> bool:
+        """Whether a token is the first of its line."""
+        return i == 0 or self.stream[i - 1].kind == LINE
+
+    def _marks_line(self, i: int) -> bool:
+        """Whether a comment mark begins a line, as in a comment of several lines that holds code."""
+        return self._first(i)
+
+    def _typed(self, i: int) -> int:
+        """The operator behind a type that follows a name: ``: str =``, ``string =``; *i* if there is none."""
+        j = i + 1 if self._is(i, ":") else i
+        for _ in range(_TYPE_TOKENS):
+            if j >= len(self.stream) or self.stream[j].kind == LINE:
+                return i
+            if self._is(j, "="):
+                return j
+            if self.stream[j].kind != WORD and not self._is(j, ".", "[", "]", "<", ">", "|", "?", "*", ",", "!"):
+                return i
+            j += 1
+        return i
+
+    def _literal(self, i: int, lines: bool) -> int | None:
+        """The literal that follows, within calls that wrap it."""
+        for _ in range(_WRAPPERS):
+            i = self._past(i, lines)
+            if i >= len(self.stream):
+                return None
+            t = self.stream[i]
+            if t.kind in (STRING, BLOCK):
+                return i
+            if t.kind == WORD:
+                word = self.text[t.start : t.end]
+                if self._is(i + 1, "("):
+                    if word not in _MAKES and len(word) > 2:
+                        return None  # a call that looks something up, or makes another thing of its argument
+                elif not self._is(i + 1, ".") and word not in ("new", "await", "byte"):
+                    return None
+            elif not self._is(i, "(", "[", "]", ".", "&"):
+                return None
+            i += 1
+        return None
+
+    def bound(self, i: int) -> int | None:
+        """The token of the literal bound to the name in token *i*."""
+        t, quoted = self.stream[i], self.stream[i].kind == STRING
+        if not quoted and i and self.stream[i - 1].kind == WORD and self.text[self.stream[i - 1].start : self.stream[i - 1].end] in _WORDS_BEFORE_NAMES:
+            return None
+        j = i + 1
+        while self._is(j, "]", "!", "?"):
+            j += 1
+        if quoted and self._looked_up(i):
+            j = self._past(j, True)
+            return self._literal(j + 1, True) if self._is(j, ",") else None
+        if quoted and self._is(i - 1, "=") and i > 1 and self.text[self.stream[i - 2].start : self.stream[i - 2].end].lower() in ("key", "name"):
+            j = self._past(j, True)
+            if j + 2 < len(self.stream) and self.text[self.stream[j].start : self.stream[j].end] == "value" and self._is(j + 1, "="):
+                return j + 2 if self.stream[j + 2].kind == STRING else None
+        j = self._past(self._typed(j), False)
+        over = self._past(j, True)
+        if not self._is(j, *_BINDS) and self._is(over, "=", ":=", "=>"):
+            j = over
+        if not self._is(j, *_BINDS) or (self._is(j, "(") and not quoted and _ASKS.match(self.text[t.start : t.end])):
+            return None
+        if self.stream[j - 1].end < self.stream[j].start - 40:
+            return None
+        lines = not self._is(j, ":", "==") or quoted
+        found = self._literal(j + 1, lines)
+        if found is None and self._is(j, ":"):
+            # the value of a key may stand on the next line, unless it is a key itself
+            found = self._literal(j + 1, True)
+            if found is not None and self.stream[found].kind == STRING and "\n" not in self.text[t.end : self.stream[found].start]:
+                return None
+        if found is None:
+            return None
+        after = self._past(found + 1, False)
+        crossed = "\n" in self.text[t.end : self.stream[found].start] and not self.stream[found].kind == BLOCK
+        return None if crossed and self._is(after, ":") else found
+
+    def _looked_up(self, i: int) -> bool:
+        """Whether a string is the first argument of a call that looks up or sets its name."""
+        j = i - 1
+        while j >= 0 and self.stream[j].kind == LINE:
+            j -= 1
+        return self._is(j, "(") and j > 0 and self.stream[j - 1].kind == WORD and bool(_LOOKS_UP.search(self.text[self.stream[j - 1].start : self.stream[j - 1].end]))
+
+    def found(self, add) -> None:
+        text = self.text
+        for i, t in enumerate(self.stream):
+            if t.kind == STRING:
+                if t.high - t.low > 64:
+                    continue
+                name = text[t.low : t.high]
+                if not _NAME_IN_STRING.fullmatch(name):
+                    continue
+            elif t.kind == WORD:
+                name = text[t.start : t.end]
+            else:
+                continue
+            named = name_kind(name)
+            if not named or (t.kind == WORD and not self._plain(i, name)):
+                continue
+            at = self.bound(i)
+            if at is not None:
+                self._take(self.stream[at], named, add)
+
+    def _plain(self, i: int, name: str) -> bool:
+        """Whether a word before a name doesn't make it something else (``public key``)."""
+        before = self.stream[i - 1] if i else None
+        return not before or before.kind != WORD or before.end + 1 != self.stream[i].start or name_kind(f"{self.text[before.start : before.end]} {name}") is not None
+
+    def _take(self, t: Token, named: tuple[str, bool], add) -> None:
+        value = self.text[t.low : t.high]
+        low, high = t.low, t.high
+        if "\n" in value:
+            low, high = low + len(value) - len(value.lstrip()), high - len(value) + len(value.rstrip())
+            value = self.text[low:high]
+        if high > low and not _COMPOUND.search(value) and (is_secret(value, *named) or (named[0] == "password" and t.kind == STRING and is_passphrase(value, named[1]))):
+            add(low, high, named[0])
+
+
+def _escaped(text: str, t: Token, add) -> None:
+    """Names and literals in escaped quotes within a string: its quotes are read without their backslashes."""
+    inside = text[t.low : t.high]
+    marks = [m.start() for m in _ESCAPED.finditer(inside)]
+    if len(marks) < 2:
+        return
+    for quote in ('\\"', "\\'"):
+        own = [m for m in marks if inside.startswith(quote, m) and (m == 0 or inside[m - 1] != "\\")]
+        for a, b, c, d in zip(own, own[1:], own[2:], own[3:], strict=False):
+            name, between = inside[a + 2 : b], inside[b + 2 : c].strip()
+            if between in (":", "=", "=>", ",") and _NAME_IN_STRING.fullmatch(name) and (named := name_kind(name)):
+                low, high = t.low + c + 2, t.low + d
+                if not _COMPOUND.search(text[low:high]) and is_secret(text[low:high], *named):
+                    add(low, high, named[0])
+        # an assignment or a call before a quoted literal
+        for c, d in zip(own, own[1:], strict=False):
+            m = _BEFORE_QUOTE.search(inside, max(0, c - 80), c)
+            if m and (named := name_kind(m.group(1))) and is_secret(inside[c + 2 : d], *named) and not _COMPOUND.search(inside[c + 2 : d]):
+                add(t.low + c + 2, t.low + d, named[0])
+
+
+_BEFORE_QUOTE = re.compile(r"([A-Za-z_][\w-]*)\s*(?:=|:=|:|\()\s*\Z")
+
+
+def _elements(text: str, low: str, add) -> None:
+    """XML elements with a credential name whose text stands on lines of its own."""
+    for m in _TAG.finditer(text):
+        if (named := name_kind(m.group(1))) and (v := _ELEMENT_OVER.match(text, m.end())) and "\n" in v.group() and is_secret(v.group(1), *named) and not _COMPOUND.search(v.group(1)):
+            add(*v.span(1), named[0])
+
+
+_TAG = re.compile(r"<([A-Za-z_][\w.-]*)(?=>\s*\n)")
+
+
+def _on_line(line: str, base: int, add) -> None:
     for m in _USERINFO.finditer(line):
         if is_secret(m.group(1), "password", False):
             add(base + m.start(1), base + m.end(1), "password")
@@ -283,7 +472,6 @@ def _on_line(line: str, base: int, add, text: str) -> None:
                         e -= 1
                     if len(line[s:e]) >= 6 and re.search(r"\d|[A-Z].*[a-z]|[a-z].*[A-Z]|_", line[s:e]):
                         take(named, s, e)
-        _over_lines(text, base + start, base + end, named, add)
     for m in _LOGIN.finditer(line):
         if len(m.group(1)) >= 6:
             take(("password", False), *m.span(1))
@@ -324,6 +512,13 @@ def find(text: str | None) -> list[Finding]:
             body = re.sub(r"\\[nrt]|[\s\"'+,\\]", "", m.group(1))
             if len(body) >= 32 and not is_placeholder(body):
                 add(m.start(), m.end(), "private_key")
+    if any(h in low for h in _LAST_WORDS):
+        binder = _Binder(text, 0, len(text))
+        binder.found(add)
+        for t in binder.stream:
+            if t.kind == STRING and "\\" in text[t.low : t.high]:
+                _escaped(text, t, add)
+        _elements(text, low, add)
     spans = set()
     for hint in (*_HINTS, *_SHORT_HINTS):
         at = low.find(hint)
@@ -337,7 +532,7 @@ def find(text: str | None) -> list[Finding]:
             at = low.find(hint, end)
     for start, end in sorted(spans):
         line = text[start:end]
-        _on_line(line, start, add, text)
+        _on_line(line, start, add)
         if (m := _ENTRY.match(line)) and (named := name_kind(m.group(1))):
             stop = text.find("\n", end + 1)
             after = text[end + 1 : stop if stop >= 0 else len(text)]
