@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -24,15 +24,23 @@ from ._texts import per_row
 
 #: A table of more targets isn't taken as one.
 MOST_SOURCES = 10_000
-#: A source may be off its budget by this share before a long document on the border is passed over, and so often.
-TOLERANCE, PASSES = 0.001, 12
+#: A source may be off its budget by this share before a further threshold is sought, and so many are at most.
+TOLERANCE, LEVELS = 0.001, 8
 #: Bits of the hash that one histogram looks at, and the number of such steps.
 BUCKET_BITS, STEPS = 10, 6
 _HASH_BITS = BUCKET_BITS * STEPS
 
 
+class Span(NamedTuple):
+    """Documents with hashes from *low* to below *high* and *most* tokens at most."""
+
+    low: int
+    high: int
+    most: int
+
+
 class Plan(NamedTuple):
-    """What a source gives: full copies of everything, and one more below the threshold but for the hashes passed over."""
+    """What a source gives: full copies of everything, and one more of what lies in its spans, which don't overlap."""
 
     source: str
     target_share: float
@@ -40,14 +48,14 @@ class Plan(NamedTuple):
     tokens: int
     documents: int
     full: int
-    threshold: int
-    passed: list[int]
+    spans: list[Span]
 
 
 def sized(documents: DataFrame, sources: list[str], doc_id: str, text: str, source: str, tokenizer_path: str) -> DataFrame:
     """(doc_id, source, h, n_tokens) of the documents of the named sources, written once."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), bare(source).alias("source"), F.col(text).alias("text"))
-    docs = docs.where(F.col("source").isin(*sources)).select("doc_id", "source", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - _HASH_BITS).alias("h"), "text")
+    named = F.broadcast(documents.sparkSession.createDataFrame([(s,) for s in sources], "source string"))  # at most MOST_SOURCES rows
+    docs = docs.join(named, "source", "left_semi").select("doc_id", "source", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - _HASH_BITS).alias("h"), "text")
 
     def measure(key, name, h, body):
         yield key, name, h, tokens.count(body, tokenizer_path)
@@ -66,8 +74,15 @@ class Border(NamedTuple):
     hash: int  # -1 if all documents are taken
 
 
-def _borders(measured: DataFrame, rest: dict[str, float], passed: dict[str, list[int]]) -> dict[str, Border]:
-    """For each source the threshold below which tokens, without the hashes passed over, sum up to about *rest*."""
+def _borders(measured: DataFrame, rest: dict[str, float], low: dict[str, int], most: dict[str, int]) -> dict[str, Border]:
+    """For each source the threshold below which the tokens of documents from the hash *low* on, of *most* tokens at most, sum up to about *rest*.
+
+    Each step meets the documents with a table of one row for each open source
+    (its border bucket so far), sums up that bucket's parts, and finds the part
+    on the border by a running sum within the source; the driver gets one row
+    for each source.
+    """
+    spark = measured.sparkSession
     prefix = dict.fromkeys(rest, 0)  # the border bucket, as the leading bits of the hash
     below = dict.fromkeys(rest, 0)  # tokens under it
     done: dict[str, Border] = {}
@@ -76,52 +91,47 @@ def _borders(measured: DataFrame, rest: dict[str, float], passed: dict[str, list
         if not open_:
             break
         shift = _HASH_BITS - step * BUCKET_BITS
-        at_border = F.lit(False)
-        for s in open_:
-            here = (F.col("source") == s) & (F.shiftright("h", shift + BUCKET_BITS) == prefix[s])
-            at_border = at_border | (here & ~F.col("h").isin(*passed[s]) if passed[s] else here)
-        sums = measured.where(at_border).groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.min("h").alias("h"), F.countDistinct("h").alias("k"))
-        by: dict[str, list] = {s: [] for s in open_}
-        for r in sums.collect():  # at most 2**BUCKET_BITS rows for each source of the target table
-            by[r.source].append((r.b, r.t, r.h, r.k))
+        at = spark.createDataFrame([(s, prefix[s], float(rest[s] - below[s]), low[s], most[s]) for s in open_], "source string, prefix bigint, wanted double, low bigint, most bigint")  # at most MOST_SOURCES rows
+        inside = measured.join(F.broadcast(at), "source").where((F.shiftright("h", shift + BUCKET_BITS) == F.col("prefix")) & (F.col("h") >= F.col("low")) & (F.col("n_tokens") <= F.col("most")))
+        parts = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n_tokens").alias("t"), F.min("h").alias("h"), F.max("h").alias("last"), F.first("wanted").alias("wanted"))
+        # at most 2**BUCKET_BITS parts for each source
+        run = Window.partitionBy("source").orderBy("b")
+        summed = parts.withColumn("upto", F.sum("t").over(run))
+        border = F.when(F.col("upto") >= F.col("wanted"), F.struct("b", "t", "upto", "h", "last"))
+        found = summed.groupBy("source").agg(F.min(border).alias("border"), F.max("upto").alias("every"))
+        by = {r.source: r for r in found.collect()}
         for s in open_:
-            found = False
-            for b, t, h, k in sorted(by[s]):
-                if below[s] + t >= rest[s]:
-                    prefix[s], found = b, True
-                    if k <= 1 or step == STEPS:
-                        # one document (or equal hashes) on the border
-                        done[s] = Border(b << shift, below[s], (b + 1) << shift, below[s] + t, h)
-                    break
-                below[s] += t
-            if not found:
+            r = by.get(s)
+            if r is None or r.border is None:
                 end = (prefix[s] + 1) << (shift + BUCKET_BITS)
-                done[s] = Border(end, below[s], end, below[s], -1)
+                all_of_it = below[s] + (r.every if r else 0)
+                done[s] = Border(end, all_of_it, end, all_of_it, -1)
+                continue
+            b, t, upto, first, last = r.border
+            prefix[s], below[s] = b, below[s] + upto - t
+            if first == last or step == STEPS:
+                # one document (or equal hashes) on the border
+                done[s] = Border(b << shift, below[s], (b + 1) << shift, below[s] + t, first)
     return done
 
 
-def _thresholds(measured: DataFrame, rest: dict[str, float], budget: dict[str, float]) -> dict[str, tuple[int, list[int]]]:
-    """(threshold, hashes passed over) of each source.
-
-    Where a long document on the border leaves a source off its budget by more
-    than TOLERANCE, it is passed over and the next documents fill its place, at most PASSES times.
-    """
-    passed: dict[str, list[int]] = {s: [] for s in rest}
-    out = dict.fromkeys(rest, 0)
+def _spans(measured: DataFrame, rest: dict[str, float], budget: dict[str, float]) -> dict[str, list[Span]]:
+    """The spans of each source whose tokens sum up to about *rest*."""
+    out: dict[str, list[Span]] = {s: [] for s in rest}
     left = {s: r for s, r in rest.items() if r > 0}
-    for _ in range(PASSES + 1):
+    low, most = dict.fromkeys(rest, 0), dict.fromkeys(rest, 2**62)
+    for level in range(LEVELS):
         again = {}
-        for s, border in _borders(measured, left, passed).items():
-            short, over = rest[s] - border.tokens_without, border.tokens_including - rest[s]
-            if border.hash >= 0 and min(short, over) > TOLERANCE * budget[s] and len(passed[s]) < PASSES:
-                passed[s].append(border.hash)
-                again[s] = rest[s]
-            else:
-                out[s] = border.including if over < short else border.without
+        for s, border in _borders(measured, left, low, most).items():
+            short, over = left[s] - border.tokens_without, border.tokens_including - left[s]
+            further = border.hash >= 0 and min(short, over) > TOLERANCE * budget[s] and level < LEVELS - 1
+            out[s].append(Span(low[s], border.without if further or over >= short else border.including, most[s]))
+            if further:
+                again[s], low[s], most[s] = short, border.including, int(short)
         if not again:
             break
         left = again
-    return {s: (out[s], passed[s]) for s in rest}
+    return out
 
 
 def plan(measured: DataFrame, wanted: dict[str, tuple[float, int]], total_tokens: int | None = None) -> list[Plan]:
@@ -139,8 +149,8 @@ def plan(measured: DataFrame, wanted: dict[str, tuple[float, int]], total_tokens
         budget = budgets[s] = size * share / scale
         full[s] = min(wanted[s][1], math.floor(budget / held[s][0] + 1e-9))
         rest[s] = budget - full[s] * held[s][0] if full[s] < wanted[s][1] else 0.0
-    at = _thresholds(measured, {s: r if r > 0.5 else 0.0 for s, r in rest.items()}, budgets)
-    return [Plan(s, share, most, *held.get(s, (0, 0)), full.get(s, 0), *at.get(s, (0, []))) for s, (share, most) in sorted(wanted.items())]
+    at = _spans(measured, {s: r if r > 0.5 else 0.0 for s, r in rest.items()}, budgets)
+    return [Plan(s, share, most, *held.get(s, (0, 0)), full.get(s, 0), at.get(s, [])) for s, (share, most) in sorted(wanted.items())]
 
 
 def clean_targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
@@ -171,9 +181,10 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     plans = plan(measured, wanted, total_tokens)
     spark = documents.sparkSession
     table = spark.createDataFrame(  # at most MOST_SOURCES rows
-        [tuple(p) for p in plans], "source string, target_share double, max_repeats int, available_tokens bigint, available_documents bigint, full int, threshold bigint, passed array<bigint>"
+        [tuple(p) for p in plans], "source string, target_share double, max_repeats int, available_tokens bigint, available_documents bigint, full int, spans array<struct<low:bigint,high:bigint,most:bigint>>"
     )
-    copies = F.col("full") + F.when((F.col("h") < F.col("threshold")) & ~F.array_contains("passed", F.col("h")), 1).otherwise(0)
+    within = F.exists("spans", lambda x: (F.col("h") >= x["low"]) & (F.col("h") < x["high"]) & (F.col("n_tokens") <= x["most"]))
+    copies = F.col("full") + F.when(within, 1).otherwise(0)
     chosen = measured.join(F.broadcast(table), "source").withColumn("copies", copies).where(F.col("copies") > 0).select("doc_id", "source", "n_tokens", "copies")
     sums = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").cast("bigint").alias("documents"))
     full = table.join(sums, "source", "left").na.fill(0, ["tokens", "documents"])
