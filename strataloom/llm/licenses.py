@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import posixpath
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from .fileclass import CODE_ENDINGS, ending
 CONFLICT, UNKNOWN = "CONFLICT", "UNKNOWN"
 #: A statement of terms that the catalogue doesn't have.
 OUTSIDE = "<outside>"
+#: An expression that multiplies out to more alternatives counts as one of no catalogue.
+MOST_ALTERNATIVES = 256
 
 # --- Templates -----------------------------------------------------------------
 
@@ -81,6 +84,19 @@ class License(NamedTuple):
 _ITEM = r"(?:\(?\d{1,2}[.)]\s*|[-*•]\s+)?"
 
 
+#: Letters of a first word by which terms and notices are looked up.
+START = 6
+_ITEM_HERE = re.compile(_ITEM)
+
+
+def _first_word(text: str) -> str:
+    for line in text.split("\n"):
+        bare = re.sub(r"^\s*(?:\(?\d{1,2}[.)]|[-*•])\s+", "", line.strip())
+        if bare:
+            return bare.split()[0].lower()
+    return ""
+
+
 def _flexible(text: str) -> str:
     """A text with any blanks between its words, and any or no marks before its items."""
     out = []
@@ -126,9 +142,13 @@ class Grammar:
         self.copyright = re.compile(compiled(COPYRIGHT, name) + r"[.,;]?\s*", flags)
         self.sentences = [re.compile(compiled(s, name) + r"[.!]?\s*", flags) for s in SENTENCES]
         self.outside = [re.compile(compiled(s, name) + r"[.!]?\s*", flags) for s in OUTSIDE_SENTENCES]
-        self.tag = re.compile(r"(?:spdx-license-identifier\s*:|@licen[cs]e\b\s*:?)\s*(?P<expr>\(?[\w.+-]+\)?(?:\s+(?:and|or|with)\s+\(?[\w.+-]+\)?)*)\s*", re.I)
+        self.tag = re.compile(r"(?:spdx-license-identifier\s*:|@licen[cs]e\b\s*:?)\s*(?P<expr>(?:\(\s*)*[\w.+-]+(?:\s*\))*(?:\s+(?:and|or|with)\s+(?:\(\s*)*[\w.+-]+(?:\s*\))*)*)\s*", re.I)
         self.notices = [(re.compile(_flexible(c.notice) + r"\s*", flags), c.license_id) for c in catalogue if c.notice]
         self.bodies = [(re.compile(_flexible(c.body) + r"\s*", flags), c.license_id) for c in catalogue if c.body]
+        self.by_start: dict[str, list[int]] = {}
+        self.texts = (*self.bodies, *self.notices)
+        for i, text in enumerate([c.body for c in catalogue if c.body] + [c.notice for c in catalogue if c.notice]):
+            self.by_start.setdefault(_first_word(text)[:START], []).append(i)
         title = "|".join(r"\s+".join(map(re.escape, t.split())) for t in sorted({c.title for c in catalogue}, key=len, reverse=True))
         self.title = re.compile(rf"(?:the\s+)?(?P<name>{title})(?:{_VERSION.replace('_N', '_1')})?(?:\s*\((?P<id>[\w.+-]+)\))?[.:]?\s*", flags)
         words = {max(c.title.lower().split(), key=len) for c in catalogue} | {k.split("-")[0] + "-" for k in self.ids}
@@ -147,23 +167,77 @@ class Grammar:
         return self.alone.get(plain) if not versions else None
 
     def expression(self, text: str) -> str | None:
-        """An expression of ids in catalogue spelling; OUTSIDE with an unknown id; None if it states nothing."""
-        words = re.findall(r"[\w.+-]+", text)
-        ids, ops = [w for w in words if w.lower() not in ("and", "or", "with")], {w.upper() for w in words if w.lower() in ("and", "or", "with")}
-        if not ids or ids[0].lower() in ("noassertion", "none", "see"):
+        """An expression of ids in catalogue spelling; OUTSIDE with an unknown id or exception; None if it states nothing.
+
+        AND binds closer than OR.  What stands in parentheses is multiplied out,
+        so that the expression is written without any: ids of one alternative
+        are joined by AND, alternatives by OR, both in alphabetical order.
+        """
+        words = re.findall(r"[\w.+-]+|[()]", text)
+        if not words or words[0].lower() in ("noassertion", "none", "see"):
             return None
-        known = [self.ids.get(w.lower()) for w in ids]
-        if None in known:
-            return OUTSIDE
-        return self.joined(set(known), ops)
+        at = 0
+
+        def ahead(word: str) -> bool:
+            return at < len(words) and words[at].lower() == word
+
+        def either() -> list[frozenset]:
+            nonlocal at
+            out = both()
+            while ahead("or"):
+                at += 1
+                out += both()
+            return out
+
+        def both() -> list[frozenset]:
+            nonlocal at
+            out = one()
+            while ahead("and"):
+                at += 1
+                right = one()
+                if len(out) * len(right) > MOST_ALTERNATIVES:
+                    raise ValueError
+                out = [a | b for a in out for b in right]
+            return out
+
+        def one() -> list[frozenset]:
+            nonlocal at
+            word = words[at] if at < len(words) else ")"
+            at += 1
+            if word == "(":
+                out = either()
+                if not ahead(")"):
+                    raise ValueError
+                at += 1
+                return out
+            if word == ")" or word.lower() in ("and", "or", "with"):
+                raise ValueError
+            if ahead("with"):
+                word, at = " ".join(words[at - 1 : at + 2]), at + 2
+            return [frozenset([self.ids.get(word.lower(), OUTSIDE)])]
 
-    @staticmethod
-    def joined(ids: set[str], ops: set[str]) -> str:
-        return (" OR " if ops == {"OR"} else " AND ").join(sorted(ids))
+        try:
+            found = either()
+        except ValueError:
+            return OUTSIDE
+        if at < len(words) or any(OUTSIDE in a for a in found):
+            return OUTSIDE
+        # an alternative that asks for more than another adds nothing
+        least = {a for a in found if not any(b < a for b in found)}
+        return " OR ".join(sorted(" AND ".join(sorted(a)) for a in least))
 
     def _versions(self, m: re.Match) -> list[str]:
         return [v for k, v in m.groupdict().items() if k.startswith("version_") and v]
 
+    def _beginning(self, unit: str, at: int) -> list[tuple[re.Pattern, str]]:
+        """The terms and notices, in order, whose first word's beginning stands at a place of a unit, item mark apart."""
+        some: set[int] = set()
+        for place in {at, _ITEM_HERE.match(unit, at).end()}:
+            word = unit[place : place + START].lower()
+            for n in range(len(word) + 1):
+                some.update(self.by_start.get(word[:n], ()))
+        return [self.texts[i] for i in sorted(some)]
+
     def complete(self, unit: str) -> list[str]:
         """What a unit states, if statements and copyright lines make up all of it; else nothing."""
         out, at, n = [], 0, len(unit)
@@ -172,7 +246,7 @@ class Grammar:
             if m := self.tag.match(unit, at):
                 best = (m.end(), [e] if (e := self.expression(m.group("expr"))) else [])
             if not best:
-                for pattern, found in (*self.bodies, *self.notices):
+                for pattern, found in self._beginning(unit, at):
                     if m := pattern.match(unit, at):
                         best = (m.end(), [found])
                         break
@@ -213,6 +287,12 @@ class Grammar:
         yield max(m.end(), stop.end()) if stop else m.end()
 
 
+@lru_cache(maxsize=4)
+def _grammar(catalogue: tuple[License, ...]) -> Grammar:
+    """The grammar of a catalogue, compiled once in a Python worker."""
+    return Grammar(list(catalogue))
+
+
 # --- Files -----------------------------------------------------------------------
 
 _LICENSE_FILE = re.compile(r"(?i)^(?:un)?(?:licen[cs]es?|copying)(?:[._-][\w.-]*)?$")
@@ -356,7 +436,7 @@ def license_of(documents: DataFrame, catalogue: DataFrame, doc_id: str = "doc_id
     rows = catalogue.select("license_id", "title", "terms_version", "notice", "body").where(F.col("license_id").isNotNull()).limit(MOST_LICENSES + 1).collect()
     if len(rows) > MOST_LICENSES:
         raise ValueError(f"a catalogue of more than {MOST_LICENSES} licenses")
-    held = [License(r.license_id, r.title or r.license_id, r.terms_version or "", r.notice or "", r.body or "") for r in rows]
+    held = tuple(sorted(License(r.license_id, r.title or r.license_id, r.terms_version or "", r.notice or "", r.body or "") for r in rows))
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(tree).alias("tree"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(text, F.lit("")).alias("text"))
 
     def judge(key, root, where, body, grammar: Grammar):
@@ -366,7 +446,7 @@ def license_of(documents: DataFrame, catalogue: DataFrame, doc_id: str = "doc_id
         yield key, root, posixpath.dirname(where), settled(said), sorted(said), holds
 
     key_type, tree_type = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "tree"))
-    judged = cut(per_row(docs, judge, f"doc_id {key_type}, tree {tree_type}, folder string, own string, said array<string>, holds boolean", lambda: {"grammar": Grammar(held)}))
+    judged = cut(per_row(docs, judge, f"doc_id {key_type}, tree {tree_type}, folder string, own string, said array<string>, holds boolean", lambda: {"grammar": _grammar(held)}))
 
     # a directory's license; only license files and manifests of one directory meet
     holding = judged.where("holds")

@@ -3,10 +3,11 @@
 Hash-threshold histograms: every document has a fixed hash, and a source's
 extra copies go to the documents below a threshold.  The threshold is found
 from sums of tokens by source and hash bucket; only the bucket on the border
-is split into finer ones, until it holds one document.  No sort, no shuffle of
-documents: the copies follow from a comparison with the threshold.  Thresholds
-are nested, so a smaller set lies within a larger one, but for a few long
-documents that are passed over where they would miss a budget by far.
+is split into finer ones, until it holds one document.  No sort, no shuffle
+of documents: the copies follow from a comparison with the threshold.  Where a
+long document on the border leaves a source off its budget by far, a further
+threshold is found the same way behind it, for documents no longer than what is
+missing, and so on until the budget is met.
 """
 
 from __future__ import annotations

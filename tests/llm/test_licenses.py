@@ -72,3 +72,31 @@ def test_inheritance(spark):
     empty = L.license_of(docs.limit(0), cat)
     assert empty[0].collect() == [] and empty[1].collect() == []
     assert {r.license_expression for r in L.license_of(docs, cat.limit(0))[0].where("doc_id = 2").collect()} == {"UNKNOWN"}
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("(al-1.0 OR PT-0.9) AND AL-2.0", "AL-1.0 AND AL-2.0 OR AL-2.0 AND PT-0.9"),
+        ("PT-0.9 OR AL-1.0 AND AL-2.0", "AL-1.0 AND AL-2.0 OR PT-0.9"),
+        ("AL-1.0 AND (AL-1.0 OR PT-0.9)", "AL-1.0"),
+        ("((PT-0.9))", "PT-0.9"),
+        ("PT-0.9 AND AL-1.0", "AL-1.0 AND PT-0.9"),
+        ("PT-0.9 WITH Core-exception", L.OUTSIDE),
+        ("PT-0.9 OR Other-1", L.OUTSIDE),
+        ("(PT-0.9 OR AL-1.0", L.OUTSIDE),
+        ("NOASSERTION", None),
+        ("", None),
+    ],
+)
+def test_expressions(text, expected):
+    assert G.expression(text) == expected
+
+
+def test_a_choice_stays_a_choice():
+    assert L.statements(G, "a.py", "# SPDX-License-Identifier: (AL-1.0 OR PT-0.9) AND AL-2.0\n") == {"AL-1.0 AND AL-2.0 OR AL-2.0 AND PT-0.9"}
+    assert L.statements(G, "package.json", '{"license": "(AL-1.0 OR PT-0.9)"}') == {"AL-1.0 OR PT-0.9"}
+
+
+def test_many_alternatives_are_of_no_catalogue():
+    assert G.expression(" AND ".join(["(AL-1.0 OR PT-0.9)"] * 30)) == L.OUTSIDE
