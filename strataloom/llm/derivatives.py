@@ -15,16 +15,12 @@ demand.  The memo is cleared when it gets too large, which costs time only.
 from __future__ import annotations
 
 import re
-import sys
 
 EMPTY, NULL = 0, 1
 _TERM, _SEQ, _ALT, _RULE, _STAR = range(5)
 
 #: Nodes after which the memo starts anew.
 MOST_NODES = 1_500_000
-#: Room for the derivation of deeply nested rules.
-_DEPTH = 20_000
-
 _LEX = re.compile(r"\s*(?:(?P<lit>'[^']+')|(?P<name>[A-Za-z_]\w*)|(?P<op>[=;|()\[\]{}]))")
 
 
@@ -145,10 +141,14 @@ class Grammar:
             return b
         if b == NULL:
             return a
-        key = self._nodes[a]
-        if key[0] == _SEQ:
-            return self._make((_SEQ, key[1], self._seq(key[2], b)))
-        return self._make((_SEQ, a, b))
+        heads = []
+        while (key := self._nodes[a])[0] == _SEQ:
+            heads.append(key[1])
+            a = key[2]
+        node = self._make((_SEQ, a, b))
+        for head in reversed(heads):
+            node = self._make((_SEQ, head, node))
+        return node
 
     def _alt(self, parts: list[int]) -> int:
         flat: set[int] = set()
@@ -194,37 +194,55 @@ class Grammar:
     def nullable(self, node: int) -> bool:
         return self._nullable[node]
 
+    def either(self, a: int, b: int) -> int:
+        """What one node or the other says."""
+        return self._alt([a, b])
+
     # -- derivatives --
 
     def derive(self, node: int, token: int) -> int:
-        """The derivative of a node; EMPTY if the token can't follow."""
-        if sys.getrecursionlimit() < _DEPTH:
-            sys.setrecursionlimit(_DEPTH)
-        return self._derive(node, token)
+        """The derivative of a node; EMPTY if the token can't follow.
 
-    def _derive(self, node: int, token: int) -> int:
-        if node <= NULL:
-            return EMPTY
-        at = node * self.width + token
-        out = self._memo.get(at)
-        if out is not None:
-            return out
-        key = self._nodes[node]
-        kind = key[0]
-        if kind == _TERM:
-            out = NULL if key[1] == token else EMPTY
-        elif kind == _SEQ:
-            out = self._seq(self._derive(key[1], token), key[2])
-            if self._nullable[key[1]]:
-                out = self._alt([out, self._derive(key[2], token)])
-        elif kind == _ALT:
-            out = self._alt([self._derive(x, token) for x in key[1]])
-        elif kind == _RULE:
-            out = self._derive(self._rule_bodies[key[1]], token)
-        else:
-            out = self._seq(self._derive(key[1], token), node)
-        self._memo[at] = out
-        return out
+        What a node's derivative is made of is derived first, on a stack of
+        its own, so that texts may nest as deep as they like.
+        """
+        memo, nodes, width, nullable = self._memo, self._nodes, self.width, self._nullable
+        todo = [node]
+        while todo:
+            at = todo[-1]
+            if at <= NULL or at * width + token in memo:
+                todo.pop()
+                continue
+            key = nodes[at]
+            kind = key[0]
+            if kind == _TERM:
+                needs: tuple | frozenset = ()
+            elif kind == _SEQ:
+                needs = (key[1], key[2]) if nullable[key[1]] else (key[1],)
+            elif kind == _ALT:
+                needs = key[1]
+            else:
+                needs = (self._rule_bodies[key[1]] if kind == _RULE else key[1],)
+            missing = [x for x in needs if x > NULL and x * width + token not in memo]
+            if missing:
+                todo += missing
+                continue
+            todo.pop()
+            made = [EMPTY if x <= NULL else memo[x * width + token] for x in needs]
+            if kind == _TERM:
+                out = NULL if key[1] == token else EMPTY
+            elif kind == _SEQ:
+                out = self._seq(made[0], key[2])
+                if len(made) > 1:
+                    out = self._alt([out, made[1]])
+            elif kind == _ALT:
+                out = self._alt(made)
+            elif kind == _RULE:
+                out = made[0]
+            else:
+                out = self._seq(made[0], at)
+            memo[at * width + token] = out
+        return EMPTY if node <= NULL else memo[node * width + token]
 
     def tidy(self) -> None:
         """Between two texts: drop the memo if it has grown too large."""

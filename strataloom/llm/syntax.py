@@ -398,6 +398,7 @@ class Ecma(Language):
         known, class_of, line, width, step, derive = self.known, self.class_of, self.line, g.width, g.step, g.derive
         state = g.start if start is None else start
         asi, brace, steps, restricted = self.inserted, self.brace, self.steps, self.restricted
+        bracket = self.terminal("[") if self.typed else self.bad
         fresh, last = False, self.bad  # fresh: a line ended before this token
         for k, x in enumerate(lexemes):
             if not x:
@@ -424,6 +425,9 @@ class Ecma(Language):
                 after = step(state * width + c)
                 if after is None:
                     after = derive(state, c)
+                if fresh and c == bracket and (early := derive(state, asi)) != EMPTY:
+                    # no type goes on with a bracket on the next line, so a member may begin here
+                    after = g.either(after, derive(early, c))
                 if after == EMPTY:
                     # a semicolon may be missing before this token
                     if fresh or c == brace:
@@ -437,6 +441,116 @@ class Ecma(Language):
         return len(lexemes)
 
 
+# --- Markup in ECMAScript ---------------------------------------------------------
+
+# What an element may stand behind.
+_BEFORE_ELEMENT = frozenset(("", "(", "[", "{", ",", ";", "=", "=>", "?", ":", "&&", "||", "??", "!", "return", "default", "else", "case", "yield", "await", "of", "in", "typeof"))
+_TAG_OPENS = re.compile(r"<\s*(?:(>)|([A-Za-z_$][\w$.:-]*)(?:<[\w$.,\s|\[\]]*>)?)")
+_TAG_CLOSES = re.compile(r"<\s*/\s*([A-Za-z_$][\w$.:-]*)?\s*>")
+_ATTRIBUTE_NAME = re.compile(r"[A-Za-z_$][\w$:.-]*")
+_ATTRIBUTE_GAP = re.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)*", re.S)
+_ATTRIBUTE_TEXT = re.compile(r"\"[^\"]*\"|'[^']*'")
+_CHILD_TEXT = re.compile(r"[^<{}>]*")
+
+
+class Markup:
+    """Takes the elements (JSX) out of an ECMAScript text; each becomes a template literal with as many line ends."""
+
+    def __init__(self, reader: Ecma, text: str):
+        self.reader, self.text = reader, text
+
+    def taken_out(self) -> str:
+        return self._code(0, False)[0]
+
+    def _code(self, at: int, inner: bool) -> tuple[str, int]:
+        """The text from *at* without elements, to the brace that closes it if *inner*; its end is -1 where there is none."""
+        text, out, depth, last = self.text, [], 0, ""
+        while at < len(text) and (m := self.reader.pattern.match(text, at)):
+            lexeme, start = m.group(1), m.start(1)
+            if not lexeme:
+                break
+            if lexeme == "<" and last in _BEFORE_ELEMENT and (end := self._element(start)) > 0:
+                out += [text[at:start], "`", "\n" * text.count("\n", start, end), "`"]
+                at, last = end, "`"
+                continue
+            if inner and lexeme == "}":
+                if not depth:
+                    return "".join([*out, text[at:start]]), m.end(1)
+                depth -= 1
+            depth += lexeme == "{"
+            out.append(text[at : m.end(1)])
+            at = m.end(1)
+            if not lexeme.isspace() and not lexeme.startswith("/*"):
+                last = lexeme
+        return "".join([*out, text[at:]]), -1 if inner else len(text)
+
+    def _hole(self, at: int, spread: bool) -> int:
+        """The end of an expression in braces; -1 if it isn't one."""
+        code, end = self._code(at + 1, True)
+        if end < 0:
+            return -1
+        code = code.strip()
+        if code.startswith("..."):
+            code = code[3:]
+        elif spread:
+            return -1
+        if not code.strip():
+            return end
+        reader = self.reader
+        return end if any(reader.read(reader.pattern.findall(code), start) is None for start in reader.holes()) or not re.sub(r"/\*.*?\*/|//[^\n]*", "", code, flags=re.S).strip() else -1
+
+    def _element(self, at: int) -> int:
+        """The end of the element at a place; -1 if there is none."""
+        text, open_ = self.text, []
+        while at < len(text):
+            if m := _TAG_CLOSES.match(text, at):
+                if not open_ or open_.pop() != (m.group(1) or ""):
+                    return -1
+                at = m.end()
+            elif m := _TAG_OPENS.match(text, at):
+                at, closed = self._attributes(m.end()) if m.group(2) else (m.end(), False)
+                if at < 0:
+                    return -1
+                if not closed:
+                    open_.append(m.group(2) or "")
+            elif open_ and text[at] == "{":
+                at = self._hole(at, False)
+                if at < 0:
+                    return -1
+            elif open_ and (m := _CHILD_TEXT.match(text, at)).end() > at:
+                at = m.end()
+            else:
+                return -1
+            if not open_:
+                return at
+        return -1
+
+    def _attributes(self, at: int) -> tuple[int, bool]:
+        """The place behind a tag's attributes, and whether the tag closes itself."""
+        text = self.text
+        while True:
+            at = _ATTRIBUTE_GAP.match(text, at).end()
+            if text.startswith("/>", at):
+                return at + 2, True
+            if text.startswith(">", at):
+                return at + 1, False
+            if text.startswith("{", at):
+                at = self._hole(at, True)
+            elif m := _ATTRIBUTE_NAME.match(text, at):
+                at = _ATTRIBUTE_GAP.match(text, m.end()).end()
+                if not text.startswith("=", at):
+                    continue
+                at = _ATTRIBUTE_GAP.match(text, at + 1).end()
+                if m := _ATTRIBUTE_TEXT.match(text, at):
+                    at = m.end()
+                else:
+                    at = self._hole(at, False) if text.startswith("{", at) else self._element(at)
+            else:
+                return -1, False
+            if at < 0:
+                return -1, False
+
+
 # --- The operator ----------------------------------------------------------------
 
 _MAKERS: dict[str, Callable[[], Language]] = {
@@ -476,7 +590,14 @@ def failure(text: str | None, name: str | None) -> Failure | None:
     """
     if text is None or name not in _MAKERS:
         return None
-    found = language(name).failure(text)
+    reader = language(name)
+    try:
+        found = reader.failure(text)
+        if found and isinstance(reader, Ecma) and ("</" in text or "/>" in text):
+            without = Markup(reader, text).taken_out()
+            found = reader.failure(without) if without != text else found
+    except RecursionError:
+        return Failure("nested_too_deep", 1, "")
     if found and name == "python" and _python_fine(text):
         return None
     if found and found.code == "unexpected_token" and _CONFLICT.search(text):
@@ -487,7 +608,8 @@ def failure(text: str | None, name: str | None) -> Failure | None:
 def invalid(df: DataFrame, doc_id: str | Column = "doc_id", text: str | Column = "text", lang: str | Column = "language") -> DataFrame:
     """(doc_id, language, code, line, token), one row for each text that doesn't parse.
 
-    code: unexpected_token, bad_token, unexpected_end or merge_conflict.  Rows
+    code: unexpected_token, bad_token, unexpected_end, merge_conflict or
+    nested_too_deep (beyond some hundred levels of markup).  Rows
     with null text or a language other than python, go, javascript, typescript
     or json are left out, as are all other columns.
     """

@@ -118,3 +118,33 @@ def test_operator(spark):
     got = {(r.repository_id, r.language): (r.files, r.invalid, r.rate) for r in X.rates(df, bad).collect()}
     assert got == {("r1", "python"): (2, 1, 0.5), ("r1", "json"): (1, 0, 0.0), ("r2", "json"): (2, 1, 0.5), ("r2", "go"): (1, 1, 1.0)}
     assert X.invalid(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "lang,text,valid",
+    [
+        ("javascript", "let a = <div>hi</div>;\n", True),
+        ("javascript", "export default function A({x}) {\n  return (\n    <ul className='b' {...x} on={() => go(x)}>\n      {x.map(i => <li key={i}>don't {i} &amp; go</li>)}\n      {/* none */}\n      <A.B c=\"d\" e />\n    </ul>\n  );\n}\n", True),
+        ("javascript", "const a = <><b/>text</>;\n", True),
+        ("typescript", "const a: X = <B<string> c={d as E} />;\n", True),
+        ("javascript", "let a = <div>hi</span>;\n", False),
+        ("javascript", "let a = <div>hi", False),
+        ("javascript", "let a = <div>{b c}</div>;\n", False),
+        ("javascript", "let a = <div b={}", False),
+        ("javascript", "if (a < b) { c = '</d>'; }\n", True),
+        ("typescript", "interface A {\n  b: string\n  [key: string]: unknown\n}\n", True),
+        ("typescript", "type A = {\n  b?: number[]\n  [k: string]: any\n  c: X\n}\n", True),
+        ("typescript", "const a = b\n[0]\n", True),
+        ("typescript", "const a = b\n[0\n", False),
+    ],
+)
+def test_markup_and_index_signatures(lang, text, valid):
+    assert (X.failure(text, lang) is None) is valid
+
+
+@pytest.mark.parametrize("lang,opens,closes", [("python", "x = (", ")"), ("json", "[", "]"), ("javascript", "x = [", "]")])
+def test_deep_nesting(lang, opens, closes):
+    head, mark = opens[:-1], opens[-1]
+    fine = head + mark * 30_000 + ("" if lang == "json" else "1") + closes * 30_000 + "\n"
+    assert X.language(lang).failure(fine) is None
+    assert X.failure(fine[:-3], lang).code == "unexpected_end"
