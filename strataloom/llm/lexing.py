@@ -10,6 +10,7 @@ their own.  A string keeps the place of its inside, quotes apart.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 WORD, STRING, BLOCK, OPERATOR, COMMENT, LINE = "word", "string", "block", "op", "comment", "line"
@@ -42,26 +43,22 @@ _BLOCK = re.compile(r"[ \t]*[|>][-+\d]{0,2}[ \t]*(?:\#[^\n]*)?\r?\n")
 _INSIDE = {"triple": "held", "double": "in2", "single": "in1", "back": "in0"}
 
 
-def tokens(text: str, low: int = 0, high: int | None = None) -> list[Token]:
+def tokens(text: str, low: int = 0, high: int | None = None) -> Iterator[Token]:
     """The tokens of a text, or of a part of it, in order."""
     high = len(text) if high is None else high
-    out: list[Token] = []
-    add = out.append
-    at = low
-    while m := _TOKEN.search(text, at, high):
-        kind = m.lastgroup if m.lastgroup in ("word", "line", "comment", "op", "rest") else next(k for k in _INSIDE if m.start(k) >= 0)
+    at, search = low, _TOKEN.search
+    while m := search(text, at, high):
+        kind = m.lastgroup  # of nested groups the outer one closes last
         start, at = m.span()
         if kind in _INSIDE:
-            add(Token(STRING, start, at, *m.span(_INSIDE[kind])))
-        elif kind == "op" and text[start] == ":" and at == start + 1 and (b := _BLOCK.match(text, at, high)):
-            add(Token(OPERATOR, start, at, start, at))
+            yield Token(STRING, start, at, *m.span(_INSIDE[kind]))
+            continue
+        yield Token(kind, start, at, start, at)
+        if kind == OPERATOR and text[start:at] == ":" and (b := _BLOCK.match(text, at, high)):
             body = _block(text, start, b.end(), high)
             if body:
-                add(Token(BLOCK, at, body[1], *body))
+                yield Token(BLOCK, at, body[1], *body)
                 at = body[1]
-        else:
-            add(Token(kind, start, at, start, at))
-    return out
 
 
 def _block(text: str, at: int, begin: int, high: int) -> tuple[int, int] | None:

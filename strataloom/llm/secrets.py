@@ -237,28 +237,39 @@ _TYPE_TOKENS, _WRAPPERS = 12, 8
 
 
 class _Binder:
-    """Binds string literals of a token stream to the credential names before them."""
+    """Binds string literals of a token stream to the credential names before them.
 
-    def __init__(self, text: str, low: int, high: int):
-        self.text, self.stream = text, tokens(text, low, high)
+    The stream is read as far as it is asked for.
+    """
+
+    def __init__(self, text: str, low: int):
+        self.text, self.stream = text, []
+        self._more = tokens(text, low)
+
+    def _has(self, i: int) -> bool:
+        while i >= len(self.stream):
+            if (t := next(self._more, None)) is None:
+                return False
+            self.stream.append(t)
+        return i >= 0
 
     def _is(self, i: int, *marks: str) -> bool:
-        return 0 <= i < len(self.stream) and self.stream[i].kind == OPERATOR and self.text[self.stream[i].start : self.stream[i].end] in marks
+        return self._has(i) and self.stream[i].kind == OPERATOR and self.text[self.stream[i].start : self.stream[i].end] in marks
 
     def _past(self, i: int, lines: bool) -> int:
         """The next token that says something, behind line ends (if they may be passed), continued lines and comments."""
-        while i < len(self.stream):
+        while self._has(i):
             t = self.stream[i]
             if t.kind == LINE and lines or t.kind == OPERATOR and self.text[t.start] == "\\" and t.end > t.start + 1:
                 i += 1
             elif t.kind == COMMENT and lines and (self._first(i) or self.text[t.start] in "#/"):
                 i += 1
                 if self.text[t.start : t.end] == "/*":
-                    while i < len(self.stream) and not (self.stream[i].kind == COMMENT and self.text[self.stream[i].start : self.stream[i].end].endswith("*/")):
+                    while self._has(i) and not (self.stream[i].kind == COMMENT and self.text[self.stream[i].start : self.stream[i].end].endswith("*/")):
                         i += 1
                     i += 1
                 elif not self._marks_line(i - 1):
-                    while i < len(self.stream) and self.stream[i].kind != LINE:
+                    while self._has(i) and self.stream[i].kind != LINE:
                         i += 1
             else:
                 return i
@@ -276,7 +287,7 @@ class _Binder:
         """The operator behind a type that follows a name: ``: str =``, ``string =``; *i* if there is none."""
         j = i + 1 if self._is(i, ":") else i
         for _ in range(_TYPE_TOKENS):
-            if j >= len(self.stream) or self.stream[j].kind == LINE:
+            if not self._has(j) or self.stream[j].kind == LINE:
                 return i
             if self._is(j, "="):
                 return j
@@ -289,7 +300,7 @@ class _Binder:
         """The literal that follows, within calls that wrap it."""
         for _ in range(_WRAPPERS):
             i = self._past(i, lines)
-            if i >= len(self.stream):
+            if not self._has(i):
                 return None
             t = self.stream[i]
             if t.kind in (STRING, BLOCK):
@@ -319,7 +330,7 @@ class _Binder:
             return self._literal(j + 1, True) if self._is(j, ",") else None
         if quoted and self._is(i - 1, "=") and i > 1 and self.text[self.stream[i - 2].start : self.stream[i - 2].end].lower() in ("key", "name"):
             j = self._past(j, True)
-            if j + 2 < len(self.stream) and self.text[self.stream[j].start : self.stream[j].end] == "value" and self._is(j + 1, "="):
+            if self._has(j + 2) and self.text[self.stream[j].start : self.stream[j].end] == "value" and self._is(j + 1, "="):
                 return j + 2 if self.stream[j + 2].kind == STRING else None
         j = self._past(self._typed(j), False)
         over = self._past(j, True)
@@ -349,24 +360,23 @@ class _Binder:
             j -= 1
         return self._is(j, "(") and j > 0 and self.stream[j - 1].kind == WORD and bool(_LOOKS_UP.search(self.text[self.stream[j - 1].start : self.stream[j - 1].end]))
 
-    def found(self, add) -> None:
-        text = self.text
-        for i, t in enumerate(self.stream):
+    def found(self, low: int, high: int, add) -> None:
+        """Takes the literals of the names that begin from *low* to *high*, and those within strings there."""
+        text, i = self.text, -1
+        while self._has(i := i + 1) and (t := self.stream[i]).start < high:
+            if t.end <= low:
+                continue
             if t.kind == STRING:
-                if t.high - t.low > 64:
-                    continue
-                name = text[t.low : t.high]
-                if not _NAME_IN_STRING.fullmatch(name):
+                if "\\" in text[t.low : t.high]:
+                    _escaped(text, t, add)
+                if t.high - t.low > 64 or not _NAME_IN_STRING.fullmatch(name := text[t.low : t.high]):
                     continue
             elif t.kind == WORD:
                 name = text[t.start : t.end]
             else:
                 continue
             named = name_kind(name)
-            if not named or (t.kind == WORD and not self._plain(i, name)):
-                continue
-            at = self.bound(i)
-            if at is not None:
+            if named and (t.kind != WORD or self._plain(i, name)) and (at := self.bound(i)) is not None:
                 self._take(self.stream[at], named, add)
 
     def _plain(self, i: int, name: str) -> bool:
@@ -408,14 +418,14 @@ def _escaped(text: str, t: Token, add) -> None:
 _BEFORE_QUOTE = re.compile(r"([A-Za-z_][\w-]*)\s*(?:=|:=|:|\()\s*\Z")
 
 
-def _elements(text: str, low: str, add) -> None:
-    """XML elements with a credential name whose text stands on lines of its own."""
-    for m in _TAG.finditer(text):
+def _elements(text: str, start: int, end: int, add) -> None:
+    """XML elements with a credential name, in a line, whose text stands on lines of its own."""
+    for m in _TAG.finditer(text, start, end):
         if (named := name_kind(m.group(1))) and (v := _ELEMENT_OVER.match(text, m.end())) and "\n" in v.group() and is_secret(v.group(1), *named) and not _COMPOUND.search(v.group(1)):
             add(*v.span(1), named[0])
 
 
-_TAG = re.compile(r"<([A-Za-z_][\w.-]*)(?=>\s*\n)")
+_TAG = re.compile(r"<([A-Za-z_][\w.-]*)(?=>\s*\Z)")
 
 
 def _on_line(line: str, base: int, add) -> None:
@@ -512,13 +522,6 @@ def find(text: str | None) -> list[Finding]:
             body = re.sub(r"\\[nrt]|[\s\"'+,\\]", "", m.group(1))
             if len(body) >= 32 and not is_placeholder(body):
                 add(m.start(), m.end(), "private_key")
-    if any(h in low for h in _LAST_WORDS):
-        binder = _Binder(text, 0, len(text))
-        binder.found(add)
-        for t in binder.stream:
-            if t.kind == STRING and "\\" in text[t.low : t.high]:
-                _escaped(text, t, add)
-        _elements(text, low, add)
     spans = set()
     for hint in (*_HINTS, *_SHORT_HINTS):
         at = low.find(hint)
@@ -532,6 +535,11 @@ def find(text: str | None) -> list[Finding]:
             at = low.find(hint, end)
     for start, end in sorted(spans):
         line = text[start:end]
+        if any(name_kind(m.group()) for m in _IDENT.finditer(line)) or ("\\" in line and "private" not in low[start:end]):
+            # from the line before, where a call may begin
+            _Binder(text, text.rfind("\n", 0, max(0, start - 1)) + 1).found(start, end, add)
+            if "<" in line:
+                _elements(text, start, end, add)
         _on_line(line, start, add)
         if (m := _ENTRY.match(line)) and (named := name_kind(m.group(1))):
             stop = text.find("\n", end + 1)
