@@ -57,9 +57,9 @@ def compared_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """(version, parent) of snapshots that, like their parent, list artifacts."""
     links = snapshot_links(spark, folder)
     listed = table(spark, folder, "artifacts").select(bare("snapshot_id").alias("version")).where(F.col("version").isNotNull()).distinct()
-    pairs = links.select(F.col("id").alias("version"), "parent").where(F.col("parent").isNotNull())
+    pairs = links.select(F.col("id").alias("version"), "parent", F.col("locality").alias("place")).where(F.col("parent").isNotNull())
     known = links.select(F.col("id").alias("parent"))
-    return pairs.join(known, "parent", "left_semi").join(listed, "version", "left_semi").join(listed.withColumnRenamed("version", "parent"), "parent", "left_semi").select("version", "parent")
+    return pairs.join(known, "parent", "left_semi").join(listed, "version", "left_semi").join(listed.withColumnRenamed("version", "parent"), "parent", "left_semi").select("version", "parent", "place")
 
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +77,7 @@ def p5_artifact_values(spark: SparkSession, folder: str) -> DataFrame:
     """Changed artifacts with the names of the changed fields and both digests."""
     rows = latest(_artifact_rows(spark, folder).where(F.col("version").isNotNull() & F.col("path").isNotNull()), ["version", "path"], ["received_at"], _ARTIFACT_FIELDS)
     changes = _changes(spark, folder).where(F.col("family") == "artifact")
-    full = fetch_values(changes, rows.withColumnRenamed("path", "key"), compared_pairs(spark, folder), _ARTIFACT_FIELDS)
+    full = fetch_values(changes, rows.withColumnRenamed("path", "key"), compared_pairs(spark, folder).drop("place"), _ARTIFACT_FIELDS)
     return full.select(F.col("version").alias("snapshot_id"), F.col("key").alias("path"), "change_kind", F.concat_ws(",", "changed").alias("changed"), F.coalesce("old.content_sha256", F.lit("")).alias("old_sha256"), F.coalesce("new.content_sha256", F.lit("")).alias("new_sha256"))
 
 
