@@ -13,11 +13,12 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 FLUSH_ROWS = 4096
 
 
-def per_row(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str | StructType, setup: Callable[[], dict] | None = None) -> DataFrame:
+def per_row(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str | StructType, setup: Callable[[], dict] | None = None, together: int = 0) -> DataFrame:
     """Rows that *fn* yields for each row of *df* (its columns as arguments).
 
     *setup* runs once per task and gives keyword arguments.  Inputs stream
-    through in Arrow batches; nothing is kept across rows.
+    through in Arrow batches; nothing is kept across rows.  With *together*, fn
+    takes a list of rows instead, of about so many characters in the last column.
     """
     kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
@@ -33,12 +34,24 @@ def per_row(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str | Str
             out.clear()
             return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
+        held: list[tuple] = []
+        weight = 0
         for batch in batches:
             columns = [batch.column(n) for n in names]
             for i in range(batch.num_rows):
-                out.extend(fn(*[c[i].as_py() for c in columns], **extra))
+                row = tuple(c[i].as_py() for c in columns)
+                if not together:
+                    out.extend(fn(*row, **extra))
+                else:
+                    held.append(row)
+                    weight += len(row[-1] or "")
+                    if weight >= together or len(held) >= FLUSH_ROWS:
+                        out.extend(fn(held, **extra))
+                        held, weight = [], 0
                 if len(out) >= FLUSH_ROWS:
                     yield flush()
+        if held:
+            out.extend(fn(held, **extra))
         if out:
             yield flush()
 

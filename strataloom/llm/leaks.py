@@ -37,9 +37,9 @@ _WORD = re.compile(r"[^\W_]+")
 #: Words of items that one pass over the documents holds; more items take more passes.
 BLOCK_WORDS = 1_000_000
 #: Repetitions and sampled outputs where edits are allowed.
-EDIT_REPETITIONS, EDIT_SAMPLED = 12, 4
-#: Document windows that are embedded at once.
-_AT_ONCE = 65_536
+EDIT_REPETITIONS, EDIT_SAMPLED = 12, 5
+#: Document windows that are embedded at once, and characters of texts that are looked through together.
+_AT_ONCE, _TOGETHER = 65_536, 1_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -134,7 +134,7 @@ class ItemIndex:
         self.tables = []
         for size, held in sorted(holders.items()):
             edits = edits_of(size, max_edits)
-            embedding = Embedding(size, edits, hashes, repetitions if edits else 1, sampled, seed)
+            embedding = Embedding(size, edits, hashes, repetitions if edits else 1, min(sampled, max(2, size // 2 - 1)) if edits else sampled, seed)
             windows = list(held)
             keys = embedding.keys(np.array(windows, dtype=np.int64))
             # per repetition: sorted keys and the windows under them
@@ -143,50 +143,87 @@ class ItemIndex:
 
     def found(self, text: str) -> Iterator[object]:
         """Keys of the items that the text holds."""
+        return (item for _, item in self.found_in([(None, text)]))
+
+    def found_in(self, texts: list[tuple[object, str]]) -> Iterator[tuple[object, object]]:
+        """(key of a text, key of an item that it holds) of several texts, which are looked through as one row of words."""
         get, unknown = self.number.get, self.unknown
-        ids = np.fromiter((get(w, unknown) for w in words_of(text)), dtype=np.int64)
-        if not len(ids) or (ids == unknown).all():
-            return
-        strange = np.concatenate([[0], np.cumsum(ids == unknown)])
+        words: list[int] = []
+        begins = []
+        for _, text in texts:
+            words.append(-1)  # no window goes over it
+            begins.append(len(words))
+            words += [get(w, unknown) for w in words_of(text)]
+        ids = np.array(words, dtype=np.int64)
+        most = max((e for _, e, *_ in self.tables), default=0)
+        strange = np.concatenate([[0], np.cumsum(np.where(ids < 0, most + 1, ids == unknown))])
         pairs = ids[:-1] * (unknown + 1) + ids[1:]
         place = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
         odd = np.concatenate([[0], np.cumsum(self.pairs[place] != pairs if len(self.pairs) else np.ones(len(pairs), dtype=bool))])
         done: set = set()
         for size, edits, embedding, windows, holders, keys, order in self.tables:
-            met = np.zeros(len(windows), dtype=bool)
             for length in range(size - edits, size + edits + 1):
                 if len(ids) < length:
                     continue
                 starts = np.flatnonzero((strange[length:] - strange[:-length] <= edits) & (odd[length - 1 :] - odd[: len(odd) - length + 1] <= 2 * edits))
                 for i in range(0, len(starts), _AT_ONCE):
-                    # repeated windows of a text are looked at once
-                    here = np.unique(ids[starts[i : i + _AT_ONCE, None] + np.arange(length)], axis=0)
-                    for r, row in enumerate(embedding.keys(here)):
-                        for w in self._verified(here, row, windows, keys[r], order[r], met, edits):
-                            yield from holders[w] - done
-                            done |= holders[w]
+                    some = starts[i : i + _AT_ONCE]
+                    # repeated windows are looked at once
+                    here, which = np.unique(ids[some[:, None] + np.arange(length)], axis=0, return_inverse=True)
+                    near = self._near(here, windows, embedding.keys(here), keys, order, edits)
+                    if not len(near):
+                        continue
+                    by_window: dict[int, list[int]] = defaultdict(list)
+                    for m, w in near.tolist():
+                        by_window[m].append(w)
+                    texts_at = np.searchsorted(begins, some, "right") - 1
+                    seen = set()
+                    for m, t in zip(which.ravel().tolist(), texts_at.tolist(), strict=True):
+                        if m in by_window and (m, t) not in seen:
+                            seen.add((m, t))
+                            for w in by_window[m]:
+                                for item in holders[w]:
+                                    if (t, item) not in done:
+                                        done.add((t, item))
+                                        yield texts[t][0], item
 
     @staticmethod
-    def _verified(here: np.ndarray, row: np.ndarray, windows: np.ndarray, keys: np.ndarray, order: np.ndarray, met: np.ndarray, edits: int) -> list[int]:
-        """Numbers of the item windows, not met before, that a document window meets under a key and is close to."""
-        low, high = np.searchsorted(keys, row, "left"), np.searchsorted(keys, row, "right")
-        counts = high - low
-        at, out = 0, []
-        ends = np.cumsum(counts)
-        while at < len(here):
-            # so many document windows that their partners fit a batch
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _AT_ONCE, "right")))
-            n = counts[at:upto]
-            mine = np.repeat(np.arange(at, upto), n)
-            theirs = order[np.repeat(low[at:upto], n) + np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)]
-            fresh = ~met[theirs]
-            mine, theirs = mine[fresh], theirs[fresh]
-            if len(mine):
-                close = np.unique(theirs[all_within(here[mine], windows[theirs], edits)])
-                met[close] = True
-                out += close.tolist()
-            at = upto
-        return out
+    def _near(here: np.ndarray, windows: np.ndarray, rows: np.ndarray, keys: np.ndarray, order: np.ndarray, edits: int) -> np.ndarray:
+        """(document window, item window) pairs that meet under a key of some repetition and are close."""
+        met: list[np.ndarray] = []
+        close: list[np.ndarray] = []
+        size = 0
+
+        def verify() -> None:
+            codes = np.unique(np.concatenate(met))
+            for k in range(0, len(codes), _AT_ONCE):
+                mine, theirs = np.divmod(codes[k : k + _AT_ONCE], len(windows))
+                good = all_within(here[mine], windows[theirs], edits)
+                close.append(np.stack([mine[good], theirs[good]], axis=1))
+
+        for r, row in enumerate(rows):
+            low, high = np.searchsorted(keys[r], row, "left"), np.searchsorted(keys[r], row, "right")
+            counts = high - low
+            ends = np.cumsum(counts)
+            at = 0
+            while at < len(here):
+                # so many document windows that their partners fit a batch
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 16 * _AT_ONCE, "right")))
+                n = counts[at:upto]
+                total = int(n.sum())
+                if total:
+                    mine = np.repeat(np.arange(at, upto), n)
+                    theirs = order[r][np.repeat(low[at:upto], n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)]
+                    met.append(mine * len(windows) + theirs)
+                    size += total
+                    if size > 16 * _AT_ONCE:
+                        verify()
+                        met.clear()
+                        size = 0
+                at = upto
+        if met:
+            verify()
+        return np.unique(np.concatenate(close), axis=0) if close else np.zeros((0, 2), dtype=np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -245,9 +282,9 @@ def leaked(
         def setup(held=held) -> dict:
             return {"index": _index(held)}
 
-        def pairs(key, body, index: ItemIndex):
-            return ((key, item) for item in index.found(body))
+        def pairs(rows, index: ItemIndex):
+            return index.found_in(rows)
 
-        one = per_row(docs, pairs, f"doc_id {types[0]}, item_id {types[1]}", setup)
+        one = per_row(docs, pairs, f"doc_id {types[0]}, item_id {types[1]}", setup, _TOGETHER)
         out = one if out is None else out.unionByName(one)
     return out.distinct()
