@@ -1,9 +1,11 @@
 """Graph traversal: bounded neighbourhoods, shortest paths, impact, strongly connected components.
 
-Traversals go level by level: a level is one join of the frontier with the
-edges.  Frontier and visited set are written to the checkpoint folder each
-level, so plans stay short and survive lost executors.  Edges hold (id, kind,
-from, to, resolution).
+Traversals go level by level.  A level looks the frontier up among the edges: a
+small one by a pushed-down list of ids, one up to the cap by broadcast, so that
+edges aren't shuffled, and a larger one (of an uncapped walk) by a shuffle.
+Each level is written to the checkpoint folder once, so plans stay short and
+survive lost executors.  Edges hold (id, kind, from, to, resolution); ``EdgeIndex``
+keeps them on disk in both directions, sorted by the end that is looked up.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import sys
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -64,18 +66,64 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     return ahead.unionByName(back)
 
 
+class EdgeIndex(NamedTuple):
+    """Edges on disk: as they are, and as moves (at, next, edge_id, kind, resolution, ahead) sorted by *at*."""
+
+    edges: DataFrame
+    moves: DataFrame
+
+    @staticmethod
+    def build(edges: DataFrame, folder: str, partitions: int = 16) -> EdgeIndex:
+        """Write the index of edges (id, kind, from, to, resolution) to a folder, replacing what is there."""
+        kept = edges.select("id", "kind", "from", "to", "resolution")
+        kept.write.mode("overwrite").parquet(f"{folder}/edges")
+        stored = edges.sparkSession.read.schema(kept.schema).parquet(f"{folder}/edges")
+        one = lambda at, to, ahead: stored.select(F.col(at).alias("at"), F.col(to).alias("next"), F.col("id").alias("edge_id"), "kind", "resolution", F.lit(ahead).alias("ahead"))
+        both = one("from", "to", True).unionByName(one("to", "from", False))
+        both.repartitionByRange(partitions, "at", "next").sortWithinPartitions("at").write.mode("overwrite").parquet(f"{folder}/moves")
+        return EdgeIndex.load(edges.sparkSession, folder)
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> EdgeIndex:
+        return EdgeIndex(spark.read.parquet(f"{folder}/edges"), spark.read.parquet(f"{folder}/moves"))
+
+
+def _moves(edges: DataFrame | EdgeIndex, options: Options) -> DataFrame:
+    """(at, next, edge_id) of the edges that a traversal may use."""
+    if not isinstance(edges, EdgeIndex):
+        return steps(accepted_edges(edges, options), options.direction)
+    if options.direction not in ("outgoing", "incoming", "both"):
+        raise ValueError(f"direction {options.direction!r}")
+    held = accepted_edges(edges.moves, options)
+    if options.direction != "both":
+        held = held.where(F.col("ahead") == (options.direction == "outgoing"))
+    return held.select("at", "next", "edge_id")
+
+
 class Neighborhood(NamedTuple):
     nodes: DataFrame  # (id, depth, rank): rank is the order of discovery
     edges: DataFrame  # (id, from, to)
     truncated: bool
 
 
-def _discover(frontier: DataFrame, moves: DataFrame, visited: DataFrame) -> DataFrame:
-    """(next, pred, edge_id, prank): for each unseen node its first discoverer."""
-    # few distinct frontier rows per level; each meets the edges by hash, and the minimum is taken with a partial step
-    met = moves.join(frontier.select(F.col("id").alias("at"), F.col("rank").alias("prank")), "at")
+#: A frontier of so many nodes is looked up by a list of their ids.
+LISTED = 1000
+
+
+def looked_up(moves: DataFrame, frontier: DataFrame, n: int) -> DataFrame:
+    """moves that begin at the *n* nodes of a frontier (at, ...), with the frontier's columns."""
+    if n <= LISTED:
+        moves = moves.where(F.col("at").isin([r["at"] for r in frontier.select("at").distinct().collect()]))
+    return moves.join(F.broadcast(frontier) if n <= NODES_MOST else frontier, "at")
+
+
+def _discover(frontier: DataFrame, n: int, moves: DataFrame, visited: DataFrame, seen: int) -> DataFrame:
+    """(next, pred, edge_id, prank): for each unseen node its first discoverer; *n* and *seen*: rows of frontier and visited."""
+    met = looked_up(moves, frontier.select(F.col("id").alias("at"), F.col("rank").alias("prank")), n)
     first = met.groupBy("next").agg(F.min(F.struct("prank", "edge_id", "at")).alias("m"))
-    return first.join(visited.select(F.col("id").alias("next")), "next", "left_anti").select("next", F.col("m.at").alias("pred"), F.col("m.edge_id").alias("edge_id"), F.col("m.prank").alias("prank"))
+    known = visited.select(F.col("id").alias("next"))
+    fresh = first.join(F.broadcast(known) if seen <= NODES_MOST else known, "next", "left_anti")
+    return fresh.select("next", F.col("m.at").alias("pred"), F.col("m.edge_id").alias("edge_id"), F.col("m.prank").alias("prank"))
 
 
 def _ranked(found: DataFrame, base: int, room: int) -> DataFrame:
@@ -87,22 +135,21 @@ def _ranked(found: DataFrame, base: int, room: int) -> DataFrame:
     if room > NODES_MOST:
         return found.withColumn("rank", F.lit(min(base, 2**31 - 1)))
     top = found.orderBy("prank", "next", "edge_id").limit(room)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy("prank", "next", "edge_id")) + F.lit(base))
+    return cut(top.withColumn("rank", F.row_number().over(Window.orderBy("prank", "next", "edge_id")) + F.lit(base)))
 
 
-def neighborhood(edges: DataFrame, seed: str, options: Options = Options()) -> Neighborhood:
+def neighborhood(edges: DataFrame | EdgeIndex, seed: str, options: Options = Options()) -> Neighborhood:
     """Nodes within *depth* steps of *seed* in breadth-first order, at most *nodes*, and the edges between them.
 
     Edges are those of nodes nearer than *depth* whose both ends were visited.
     """
     o = options.filled()
-    spark = edges.sparkSession
-    usable = accepted_edges(edges, o)
-    moves = steps(usable, o.direction)
-    visited = spark.createDataFrame([(seed, 0, 0)], "id string, depth int, rank int")
-    frontier, count, truncated = visited, 1, False
+    listed = edges.edges if isinstance(edges, EdgeIndex) else edges
+    moves = _moves(edges, o)
+    visited = listed.sparkSession.createDataFrame([(seed, 0, 0)], "id string, depth int, rank int")
+    frontier, size, count, truncated = visited, 1, 1, False
     for depth in range(1, o.depth + 1):
-        found = cut(_discover(frontier, moves, visited))
+        found = cut(_discover(frontier, size, moves, visited, count))
         n = found.count()
         if not n:
             break
@@ -111,22 +158,26 @@ def neighborhood(edges: DataFrame, seed: str, options: Options = Options()) -> N
             truncated = True
         if room <= 0:
             break
-        frontier = cut(_ranked(found, count - 1, room).select(F.col("next").alias("id"), F.lit(depth).alias("depth"), "rank"))
-        visited = cut(visited.unionByName(frontier))
-        count += min(n, room)
-    expanded = visited.where(F.col("depth") < o.depth).select("id")
-    near = moves.join(expanded, moves["at"] == expanded["id"], "left_semi").select("edge_id").distinct()
+        frontier = _ranked(found, count - 1, room).select(F.col("next").alias("id"), F.lit(depth).alias("depth"), "rank")
+        visited = visited.unionByName(frontier)
+        size = min(n, room)
+        count += size
+    few = count <= NODES_MOST
     ends = visited.select("id")
-    kept = (
-        usable.join(near, usable["id"] == near["edge_id"], "left_semi")
-        .join(ends.withColumnRenamed("id", "from"), "from", "left_semi")
-        .join(ends.withColumnRenamed("id", "to"), "to", "left_semi")
-        .select("id", "from", "to")
-    )
+    begins = visited.where(F.col("depth") < o.depth).select("id")
+    small = lambda df: F.broadcast(df) if few else df
+    met = lambda df, c: df.join(small(ends.withColumnRenamed("id", c)), c, "left_semi")
+    inside = met(met(accepted_edges(listed, o), "from"), "to")
+    # found from the end that a traversal comes from
+    near = {"outgoing": ["from"], "incoming": ["to"], "both": ["from", "to"]}[o.direction]
+    marked = inside
+    for c in near:
+        marked = marked.join(small(begins.select(F.col("id").alias(c), F.lit(True).alias(f"_{c}"))), c, "left")
+    kept = marked.where(F.coalesce(*[f"_{c}" for c in near])).select("id", "from", "to")
     return Neighborhood(visited, kept, truncated)
 
 
-def impact(edges: DataFrame, seed: str, options: Options = Options(direction="incoming")) -> Neighborhood:
+def impact(edges: DataFrame | EdgeIndex, seed: str, options: Options = Options(direction="incoming")) -> Neighborhood:
     """Who depends on the seed: the incoming neighbourhood without the seed itself."""
     n = neighborhood(edges, seed, options)
     return n._replace(nodes=n.nodes.where(F.col("id") != seed))
@@ -140,24 +191,24 @@ class Path(NamedTuple):
     truncated: bool
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, options: Options = Options()) -> Path:
+def shortest_path(edges: DataFrame | EdgeIndex, source: str, target: str, options: Options = Options()) -> Path:
     """A shortest path; among equally short ones that of the first discoverers by (order, id, edge)."""
     o = options.filled()
     if source == target:
         return Path(True, [source], [], 1, False)
-    moves = steps(accepted_edges(edges, o), o.direction)
-    spark = edges.sparkSession
-    visited = spark.createDataFrame([(source, None, None, 0)], "id string, pred string, edge_id string, rank int")
-    frontier, count = visited, 1
+    moves = _moves(edges, o)
+    visited = moves.sparkSession.createDataFrame([(source, None, None, 0)], "id string, pred string, edge_id string, rank int")
+    frontier, size, count = visited, 1, 1
     for _ in range(o.depth):
-        found = cut(_discover(frontier, moves, visited))
+        found = cut(_discover(frontier, size, moves, visited, count))
         n = found.count()
         room = o.nodes - count
         if not n or room <= 0:
             return Path(False, [], [], count, n > 0)
-        frontier = cut(_ranked(found, count - 1, room).select(F.col("next").alias("id"), "pred", "edge_id", "rank"))
-        visited = cut(visited.unionByName(frontier))
-        count += min(n, room)
+        frontier = _ranked(found, count - 1, room).select(F.col("next").alias("id"), "pred", "edge_id", "rank")
+        visited = visited.unionByName(frontier)
+        size = min(n, room)
+        count += size
         if frontier.where(F.col("id") == target).take(1):
             nodes, used, at = [target], [], target
             while at != source:  # at most *depth* look-ups

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.text import joined, normalized, tokenize
 from ..session import cut
 from ..vocabulary import is_public, is_symbol
-from .graph import Options, accepted_edges, steps
+from .graph import EdgeIndex, Options, looked_up
+from .graph import _moves as moves_of
 from .records import clamp_limit
 
 # Field boosts, BM25 parameters, bonuses, fusion and decay.
@@ -318,37 +319,54 @@ def synthesis_subjects(nodes: DataFrame, limit: int) -> DataFrame:
 # --- Graph expansion -----------------------------------------------------------
 
 
-def expand(hits: DataFrame, edges: DataFrame, documents: DataFrame, hops: int, limit: int, budget: int = 0, accept: Column | None = None) -> DataFrame:
-    """Hits (id, score, is_node) with bonuses for graph neighbours: score * 0.55^depth from each hit that is a node.
+class Response(NamedTuple):
+    hits: DataFrame  # (id, score, reasons), best first
+    mode: str
+    truncated: bool
+
+
+def expand(hits: DataFrame, edges: DataFrame | EdgeIndex, documents: DataFrame, hops: int, limit: int, budget: int = 0, accept: Column | None = None, mode: str = "lexical", truncated: bool = False) -> Response:
+    """Hits (id, score, is_node[, reasons]) with bonuses for graph neighbours: score * 0.55^depth from each hit that is a node.
 
     Each seed may reach as many nodes as its predecessors in hit order have left
     of the budget; a seed's reach is counted in breadth-first order of discovery.
-    All seeds walk at once, level by level; the budget is applied to their
-    reaches by a running sum.  That equals taking the seeds one by one: the seed
-    that crosses the budget keeps the nodes it found first, later ones none.  No
-    level keeps more nodes of a seed than the budget, as none beyond could count.
+    All seeds walk at once, level by level, and no level keeps more nodes of a
+    seed than the budget; the budget is then shared out by the sizes of the
+    reaches, which equals taking the seeds one by one.  Hits are a bounded list.
     """
     hops = min(max(hops, 0), HOPS_MOST)
     budget = EXPAND_DEFAULT if budget <= 0 else min(budget, EXPAND_MOST)
-    ranked = cut(hits.withColumn("_order", F.row_number().over(Window.orderBy(F.desc("score"), "id"))))  # a bounded list
+    own = F.coalesce("reasons", F.array().cast("array<string>")) if "reasons" in hits.columns else F.array().cast("array<string>")
+    ranked = cut(hits.select("id", "score", "is_node", own.alias("own"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("_order")))
     seeds = ranked.where("is_node").select(F.col("id").alias("seed"), "_order", F.col("score").alias("seed_score"))
-    moves = steps(accepted_edges(edges, Options()), "both").select("at", "next").distinct()
-    reached = cut(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(1).alias("rank")))
-    frontier = reached
+    moves = moves_of(edges, Options()).select("at", "next").distinct() if not isinstance(edges, EdgeIndex) else moves_of(edges, Options())
+    frontier = cut(seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(1).alias("rank")))
+    reached = frontier
     found_first = Window.partitionBy("seed").orderBy("prank", "id")
     for depth in range(1, hops + 1):
-        met = frontier.select("seed", F.col("id").alias("at"), F.col("rank").alias("prank")).join(moves, "at")
-        step = met.groupBy("seed", F.col("next").alias("id")).agg(F.min("prank").alias("prank")).join(reached, ["seed", "id"], "left_anti")
-        ranked_step = step.withColumn("rank", F.row_number().over(found_first)).where(F.col("rank") <= budget)
-        frontier = cut(ranked_step.select("seed", "id", F.lit(depth).alias("depth"), "rank"))
-        if not frontier.take(1):
+        n = frontier.count()
+        if not n:
             break
-        reached = cut(reached.unionByName(frontier))
-    placed = reached.join(seeds, "seed")
-    within = placed.withColumn("_used", F.row_number().over(Window.orderBy("_order", "depth", "rank"))).where(F.col("_used") <= budget)
-    bonus = within.where(F.col("depth") >= 1).select("id", (F.col("seed_score") * F.pow(F.lit(DECAY), F.col("depth"))).alias("bonus"), F.concat(F.lit("graph_hop:"), F.col("depth").cast("string")).alias("reason"))
+        met = looked_up(moves, frontier.select("seed", F.col("id").alias("at"), F.col("rank").alias("prank")), n)
+        step = met.groupBy("seed", F.col("next").alias("id")).agg(F.min("prank").alias("prank")).join(reached, ["seed", "id"], "left_anti")
+        first = step.withColumn("rank", F.row_number().over(found_first)).where(F.col("rank") <= budget)
+        frontier = cut(first.select("seed", "id", F.lit(depth).alias("depth"), "rank"))
+        reached = reached.unionByName(frontier)
+    # what each seed may keep, and what its predecessors left of the budget; as many rows as hits
+    sizes = reached.groupBy("seed").agg(F.count("*").alias("n"))
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("_order"))
+    rooms = cut(ranked.join(sizes, (F.col("id") == F.col("seed")) & F.col("is_node"), "left").select("_order", "is_node", F.col("id").alias("seed"), F.coalesce("n", F.lit(0)).alias("n"), (F.lit(budget) - upto + F.coalesce("n", F.lit(0))).alias("room")))
+    cut_off = bool(rooms.where((F.col("room") <= 0) | (F.col("n") > F.col("room"))).take(1))
+    order = Window.partitionBy("seed").orderBy("depth", "rank")
+    kept = reached.join(F.broadcast(rooms.where("is_node").select("seed", "room")), "seed").withColumn("_used", F.row_number().over(order)).where(F.col("_used") <= F.col("room"))
+    mark = F.format_string("graph_from:%s:depth:%d", "seed", "depth")
+    bonus = kept.where(F.col("depth") >= 1).join(seeds, "seed").select("id", (F.col("seed_score") * F.pow(F.lit(DECAY), F.col("depth"))).alias("bonus"), mark.alias("reason"))
     allowed = documents.where(accept) if accept is not None else documents
-    gained = bonus.join(allowed.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("bonus").alias("bonus"), F.array_sort(F.collect_set("reason")).alias("graph_reasons"))
-    full = ranked.select("id", "score").join(gained, "id", "full_outer")
+    gained = bonus.join(allowed.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("bonus").alias("bonus"), F.collect_set("reason").alias("graph_reasons"))
+    full = ranked.select("id", "score", "own").join(gained, "id", "full_outer")
     total = rounded(F.coalesce("score", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)))
-    return full.select("id", total.alias("score"), F.coalesce("graph_reasons", F.array().cast("array<string>")).alias("reasons")).orderBy(F.desc("score"), "id").limit(clamp_limit(limit))
+    none = F.array().cast("array<string>")
+    why = F.array_sort(F.array_distinct(F.concat(F.coalesce("own", none), F.coalesce("graph_reasons", none))))
+    out = full.select("id", total.alias("score"), why.alias("reasons")).orderBy(F.desc("score"), "id")
+    most = clamp_limit(limit)
+    return Response(out.limit(most), f"{mode}+graph", truncated or cut_off or len(out.limit(most + 1).select("id").collect()) > most)

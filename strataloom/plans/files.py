@@ -193,8 +193,8 @@ _SYMBOLS = "('module','namespace','package','class','interface','trait','type','
 _XML = "replace(replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 ORACLE = {
-    "artifact_inventory": rf"""SELECT doc_id || '/' || path AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS sha256, CASE WHEN contains(text, chr(0)) THEN 'binary' WHEN octet_length(encode(text)) > 60000 THEN 'oversized' ELSE 'text' END AS status,
-CAST(CASE WHEN octet_length(encode(text)) > 60000 THEN -1 WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS BIGINT) AS line_count,
+    "artifact_inventory": rf"""SELECT doc_id || '/' || path AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS sha256, CASE WHEN contains(text, chr(0)) THEN 'binary' WHEN octet_length(encode(text)) > 2097152 THEN 'oversized' ELSE 'text' END AS status,
+CAST(CASE WHEN octet_length(encode(text)) > 2097152 THEN -1 WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END END AS BIGINT) AS line_count,
 coalesce(CASE lower(regexp_extract(path, '[^/]*$')) WHEN 'dockerfile' THEN 'dockerfile' WHEN 'makefile' THEN 'make' WHEN 'requirements.txt' THEN 'requirements' END, CASE lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\.[^.]*$')) {_LANG} END, '') AS language FROM documents""",
     "excluded_paths": f"""WITH {VIEWS_SQL}, x AS (SELECT CASE WHEN starts_with(path, 'vendor/') THEN 'vendor' WHEN starts_with(path, 'node_modules/') THEN 'node_modules' WHEN starts_with(path, 'build/stubs/') THEN 'build/stubs' WHEN starts_with(path, 'docs/') THEN 'docs' END AS reason FROM v_artifacts) SELECT reason, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY reason""",
     "parent_heading": f"WITH {_HEADS} SELECT h.doc_id, h.ordinal, coalesce(max(p.ordinal), -1) AS parent FROM hd h LEFT JOIN hd p ON p.doc_id = h.doc_id AND p.ordinal < h.ordinal AND p.level < h.level GROUP BY h.doc_id, h.ordinal",

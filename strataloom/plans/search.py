@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import retrieval as R
-from ..session import cut
 from ..sources.tables import table
 from . import views
 from .views import GRAPH_SQL
@@ -77,25 +76,36 @@ def multi_query_merge(spark: SparkSession, folder: str) -> DataFrame:
 def graph_expand(spark: SparkSession, folder: str) -> DataFrame:
     """Three hits spread over their neighbours."""
     hits = spark.createDataFrame([("s:1", 3.0, True), ("n:3", 2.0, True), ("c:7", 1.0, False)], "id string, score double, is_node boolean")
-    edges = cut(views.graph_edges(spark, folder))
-    return R.expand(hits, edges, views.graph_nodes(spark, folder), 2, 1000, budget=5000).select("id", "score", F.concat_ws(",", "reasons").alias("reasons"))
+    return R.expand(hits, views.edge_index(spark, folder), views.graph_nodes(spark, folder), 2, 1000, budget=5000).hits.select("id", "score", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 def neighborhood(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes by their distance from one customer, within three steps."""
-    n = G.neighborhood(cut(views.graph_edges(spark, folder)), "c:1", G.Options(depth=3, capped=False))
+    n = G.neighborhood(views.edge_index(spark, folder), "c:1", G.Options(depth=3, capped=False))
     return n.nodes.select("id", F.col("depth").cast("bigint").alias("depth"))
 
 
+def neighborhood_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 400 nodes about a nation in the order of their discovery, and whether there are more."""
+    n = G.neighborhood(views.edge_index(spark, folder), "n:3", G.Options(depth=2, nodes=400))
+    return n.nodes.select("id", F.col("depth").cast("bigint").alias("depth"), F.col("rank").cast("bigint").alias("rank"), F.lit(n.truncated).alias("truncated"))
+
+
+def neighborhood_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges of a customer's neighbourhood of two steps."""
+    n = G.neighborhood(views.edge_index(spark, folder), "c:1", G.Options(depth=2, capped=False))
+    return n.edges.select("id", F.col("from").alias("source"), F.col("to").alias("target"))
+
+
 def impact(spark: SparkSession, folder: str) -> DataFrame:
     """What leads to a nation within two steps, against the direction of the edges."""
-    n = G.impact(cut(views.graph_edges(spark, folder)), "n:3", G.Options(direction="incoming", depth=2, capped=False))
+    n = G.impact(views.edge_index(spark, folder), "n:3", G.Options(direction="incoming", depth=2, capped=False))
     return n.nodes.select("id", F.col("depth").cast("bigint").alias("depth"))
 
 
 def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
     """The length and the ends of a path between a region and a part."""
-    p = G.shortest_path(cut(views.graph_edges(spark, folder)), "r:0", "s:2", G.Options(depth=8, capped=False))
+    p = G.shortest_path(views.edge_index(spark, folder), "r:0", "s:2", G.Options(depth=8, capped=False))
     return spark.createDataFrame([(p.found, len(p.edges), p.nodes[0] if p.nodes else "", p.nodes[-1] if p.nodes else "")], "found boolean, length bigint, first string, last string")
 
 
@@ -131,7 +141,7 @@ def induced_subgraph(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_filtered, fulltext_topk, index_terms, index_stats, dense_topk, vector_norms, rrf_topk, multi_query_merge, graph_expand, neighborhood, impact, shortest_path, scc_transitions, scc_snapshots, degree_detail, induced_subgraph,
+        bm25_topk, bm25_filtered, fulltext_topk, index_terms, index_stats, dense_topk, vector_norms, rrf_topk, multi_query_merge, graph_expand, neighborhood, neighborhood_order, neighborhood_edges, impact, shortest_path, scc_transitions, scc_snapshots, degree_detail, induced_subgraph,
     )
 }
 
@@ -199,12 +209,21 @@ sm AS (SELECT CAST(id AS VARCHAR) AS id, row_number() OVER (ORDER BY score DESC,
 SELECT id, round(sum(1.0 / (60 + rank)) * 1000000) / 1000000 AS score, array_to_string(list_sort(list(channel || '_rank:' || rank)), ',') AS reasons FROM (SELECT * FROM lx UNION ALL SELECT * FROM sm) GROUP BY id ORDER BY score DESC, id LIMIT 60""",
     "multi_query_merge": f"""WITH {_index(_BOOST)}, {_plain('ledger outline', 'a', 30)}, {_plain('outline budget', 'b', 30)}, {_plain('deep channel', 'c', 30)}
 SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, CAST(len(list_distinct(flatten(list(list_append(reasons, 'q' || q))))) AS BIGINT) AS n_reasons FROM (SELECT *, 0 AS q FROM top_a UNION ALL SELECT *, 1 FROM top_b UNION ALL SELECT *, 2 FROM top_c) GROUP BY id ORDER BY sum(1.0 / (60 + rank)) DESC, id LIMIT 50""",
-    "graph_expand": f"""WITH {GRAPH_SQL}, ok AS (SELECT * FROM g_edges WHERE kind IN ('contains', 'references') AND {_OK}), mv AS (SELECT DISTINCT * FROM (SELECT "from" AS a, "to" AS b FROM ok UNION ALL SELECT "to", "from" FROM ok)),
-seed AS (SELECT * FROM (VALUES ('s:1', 3.0::DOUBLE), ('n:3', 2.0)) t(seed, sc)), d1 AS (SELECT DISTINCT seed, b AS id FROM seed JOIN mv ON a = seed WHERE b <> seed),
-d2 AS (SELECT DISTINCT d1.seed, b AS id FROM d1 JOIN mv ON a = d1.id WHERE b <> d1.seed AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.seed = d1.seed AND x.id = b)),
-bn AS (SELECT id, sc * 0.55 AS bonus, 'graph_hop:1' AS reason FROM d1 JOIN seed USING (seed) UNION ALL SELECT id, sc * 0.55 * 0.55, 'graph_hop:2' FROM d2 JOIN seed USING (seed)),
-gn AS (SELECT id, sum(bonus) AS bonus, list_sort(list_distinct(list(reason))) AS reasons FROM bn WHERE id IN (SELECT id FROM g_nodes) GROUP BY id), h AS (SELECT * FROM (VALUES ('s:1', 3.0::DOUBLE), ('n:3', 2.0), ('c:7', 1.0)) t(id, score))
+    "graph_expand": f"""WITH {GRAPH_SQL}, mv AS (SELECT DISTINCT * FROM (SELECT "from" AS a, "to" AS b FROM g_edges WHERE {_OK} UNION ALL SELECT "to", "from" FROM g_edges WHERE {_OK})),
+h AS (SELECT * FROM (VALUES ('s:1', 3.0::DOUBLE, 1, true), ('n:3', 2.0, 2, true), ('c:7', 1.0, 3, false)) t(id, score, ord, is_node)),
+d0 AS (SELECT id AS seed, id, score AS sc, ord, 0 AS depth, 1::BIGINT AS rk FROM h WHERE is_node),
+d1 AS (SELECT seed, b AS id, sc, ord, 1 AS depth, row_number() OVER (PARTITION BY seed ORDER BY b) AS rk FROM d0 JOIN mv ON a = id WHERE b <> seed),
+c2 AS (SELECT seed, b AS id, any_value(sc) AS sc, any_value(ord) AS ord, min(rk) AS prank FROM d1 JOIN mv ON a = id WHERE b <> seed GROUP BY seed, b),
+d2 AS (SELECT seed, id, sc, ord, 2 AS depth, row_number() OVER (PARTITION BY seed ORDER BY prank, id) AS rk FROM c2 WHERE NOT EXISTS (SELECT 1 FROM d1 x WHERE x.seed = c2.seed AND x.id = c2.id)),
+every AS (SELECT *, row_number() OVER (ORDER BY ord, depth, rk) AS used FROM (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2)),
+gn AS (SELECT id, sum(sc * 0.55 ** depth) AS bonus, list_sort(list_distinct(list('graph_from:' || seed || ':depth:' || depth))) AS reasons FROM every WHERE used <= 5000 AND depth > 0 AND id IN (SELECT id FROM g_nodes) GROUP BY id)
 SELECT coalesce(h.id, gn.id) AS id, round((coalesce(score, 0) + coalesce(bonus, 0)) * 1000000) / 1000000 AS score, coalesce(array_to_string(reasons, ','), '') AS reasons FROM h FULL OUTER JOIN gn ON h.id = gn.id ORDER BY 2 DESC, 1 LIMIT 1000""",
+    "neighborhood_order": f"""WITH {GRAPH_SQL}, mv AS (SELECT DISTINCT * FROM (SELECT "from" AS a, "to" AS b FROM g_edges WHERE {_OK} UNION ALL SELECT "to", "from" FROM g_edges WHERE {_OK})),
+d1 AS (SELECT b AS id, row_number() OVER (ORDER BY b) AS rk FROM mv WHERE a = 'n:3' AND b <> 'n:3'), c2 AS (SELECT b AS id, min(rk) AS prank FROM d1 JOIN mv ON a = id WHERE b <> 'n:3' AND b NOT IN (SELECT id FROM d1) GROUP BY b),
+every AS (SELECT 'n:3' AS id, 0 AS depth, 0::BIGINT AS rk UNION ALL SELECT id, 1, rk FROM d1 UNION ALL SELECT id, 2, (SELECT count(*) FROM d1) + row_number() OVER (ORDER BY prank, id) FROM c2)
+SELECT id, depth::BIGINT AS depth, rk AS rank, (SELECT count(*) FROM every) > 400 AS truncated FROM every WHERE rk < 400""",
+    "neighborhood_edges": f"""{_bfs('c:1', 2, True)}, v AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)
+SELECT e.id, e."from" AS source, e."to" AS target FROM g_edges e JOIN v a ON a.id = e."from" JOIN v b ON b.id = e."to" WHERE {_OK} AND least(a.depth, b.depth) < 2""",
     "neighborhood": f"{_bfs('c:1', 3, True)} SELECT id, min(depth) AS depth FROM walk GROUP BY id",
     "impact": f"{_bfs('n:3', 2, False)} SELECT id, min(depth) AS depth FROM walk WHERE id <> 'n:3' GROUP BY id",
     "shortest_path": f"{_bfs('r:0', 6, True)} SELECT true AS found, min(depth) AS length, 'r:0' AS first, 's:2' AS last FROM walk WHERE id = 's:2'",
@@ -212,7 +231,7 @@ SELECT coalesce(h.id, gn.id) AS id, round((coalesce(score, 0) + coalesce(bonus,
 r AS (SELECT a, b FROM t UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a), v AS (SELECT a AS id FROM t UNION SELECT b FROM t), m AS (SELECT v.id, least(v.id, min(r.b)) AS component FROM v LEFT JOIN r ON r.a = v.id AND EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = r.a) GROUP BY v.id)
 SELECT id, component, count(*) OVER (PARTITION BY component) AS size, count(*) OVER (PARTITION BY component) > 1 OR EXISTS (SELECT 1 FROM t WHERE t.a = m.id AND t.b = m.id) AS cyclic FROM m""",
     "degree_detail": f"""WITH {GRAPH_SQL}, i AS (SELECT "to" AS id, count(*) AS n_in FROM g_edges GROUP BY 1), o AS (SELECT "from" AS id, count(*) AS n_out FROM g_edges GROUP BY 1) SELECT g.id, coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out FROM g_nodes g LEFT JOIN i USING (id) LEFT JOIN o USING (id)""",
-    "induced_subgraph": f"""WITH {GRAPH_SQL}, s AS (SELECT id FROM g_nodes WHERE regexp_matches(id, '^[rnc]:[0-9]{{1,2}}$')) SELECT id, kind FROM g_edges WHERE "from" IN (SELECT id FROM s) AND "to" IN (SELECT id FROM s)""",
+    "induced_subgraph": f"""WITH {GRAPH_SQL}, s AS (SELECT id FROM g_nodes WHERE kind IN ('namespace', 'module', 'class')) SELECT id, kind FROM g_edges WHERE "from" IN (SELECT id FROM s) AND "to" IN (SELECT id FROM s)""",
 }
 
 

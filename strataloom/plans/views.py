@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import EdgeIndex
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import bare, latest, table
 
 
@@ -55,6 +59,18 @@ def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("id", F.concat_ws("|", "from", "kind", "to"))
 
 
+def edge_index(spark: SparkSession, folder: str) -> EdgeIndex:
+    """The stored index of ``graph_edges``, built once in an application."""
+    at = f"{ensure_checkpoint_dir(spark)}/strataloom-{spark.sparkContext.applicationId}/edges-{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+    if at not in _BUILT:
+        EdgeIndex.build(graph_edges(spark, folder), at)
+        _BUILT.add(at)
+    return EdgeIndex.load(spark, at)
+
+
+_BUILT: set[str] = set()
+
+
 def search_docs(spark: SparkSession, folder: str) -> DataFrame:
     """(id, object_type, kind, language, title, qualified_name, signature, path, body) of the documents."""
     d = table(spark, folder, "documents")

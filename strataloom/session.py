@@ -35,6 +35,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -46,15 +47,19 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where neither that
-    setting nor a folder set on the context exists (local tests) a temporary
-    one is made.
+    A cluster names it in ``spark.checkpoint.dir``; without it, and without a
+    folder set on the context, a local session gets a temporary one, and any
+    other master is refused.
     """
     set_already = spark.sparkContext.getCheckpointDir()
     if set_already:
         return set_already
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="strataloom-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="strataloom-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

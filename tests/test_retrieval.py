@@ -73,9 +73,9 @@ def test_expand(spark):
     hits = spark.createDataFrame([("a", 2.0, True), ("x", 1.0, False)], "id string, score double, is_node boolean")
     edges = spark.createDataFrame([("ab", "calls", "a", "b", "declared"), ("bc", "calls", "c", "b", "declared"), ("bu", "calls", "b", "u", "unresolved")], "id string, kind string, `from` string, `to` string, resolution string")
     docs = spark.createDataFrame([("a",), ("b",), ("c",), ("u",), ("x",)], "id string")
-    got = {r.id: (r.score, r.reasons) for r in R.expand(hits, edges, docs, 2, 10).collect()}
-    assert got == {"a": (2.0, []), "b": (1.1, ["graph_hop:1"]), "c": (0.605, ["graph_hop:2"]), "x": (1.0, [])}
-    assert set(ids(R.expand(hits, edges, docs, 2, 10, budget=2))) == {"a", "b", "x"}
+    got = {r.id: (r.score, r.reasons) for r in R.expand(hits, edges, docs, 2, 10).hits.collect()}
+    assert got == {"a": (2.0, []), "b": (1.1, ["graph_from:a:depth:1"]), "c": (0.605, ["graph_from:a:depth:2"]), "x": (1.0, [])}
+    assert set(ids(R.expand(hits, edges, docs, 2, 10, budget=2).hits)) == {"a", "b", "x"}
 
 
 def test_parsing_and_repair(spark):

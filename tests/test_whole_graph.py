@@ -40,7 +40,7 @@ def one_by_one(nodes, edges, hops, limit, budget):
         for i, d in depths.items():
             if d and i in nodes:
                 scores[i] = scores.get(i, 0.0) + score * 0.55**d
-                why.setdefault(i, set()).add(f"graph_hop:{d}")
+                why.setdefault(i, set()).add(f"graph_from:{seed}:depth:{d}")
     rows = [(i, round(s * 1e6) / 1e6, ",".join(sorted(why.get(i, ())))) for i, s in scores.items()]
     return sorted(rows, key=lambda r: (-r[1], r[0]))[:limit]
 
@@ -56,7 +56,7 @@ def test_graph_expand_takes_all_kinds(spark, graph):
 def test_expand_budget_in_order_of_discovery(spark, graph, budget):
     nodes, edges = graph
     hits = spark.createDataFrame(HITS, "id string, score double, is_node boolean")
-    got = R.expand(hits, views.graph_edges(spark, FOLDER), views.graph_nodes(spark, FOLDER), 2, 1000, budget=budget).collect()
+    got = R.expand(hits, views.graph_edges(spark, FOLDER), views.graph_nodes(spark, FOLDER), 2, 1000, budget=budget).hits.collect()
     assert sorted((r.id, r.score, ",".join(r.reasons)) for r in got) == sorted(one_by_one(nodes, edges, 2, 1000, budget))
 
 
