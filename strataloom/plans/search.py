@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.search_index import Engine
 from ..sources.tables import table
 from . import views
 from .views import GRAPH_SQL
@@ -16,22 +17,22 @@ _TEXT = "stale registry mergeBudget snapshot"
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship query: field-boosted BM25 over all documents."""
-    return R.lexical_search(views.search_docs(spark, folder), R.Query(_TEXT, limit=50)).select("id", "score", F.concat_ws(",", "terms").alias("terms"), F.concat_ws(",", "reasons").alias("reasons"))
+    return views.lexical_index(spark, folder).search(R.Query(_TEXT, limit=50)).select("id", "score", F.concat_ws(",", "terms").alias("terms"), F.concat_ws(",", "reasons").alias("reasons"))
 
 
 def bm25_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """With inline filters and an exact title."""
     q = R.Query("README.md lang:markdown path:README", limit=20)
-    return R.lexical_search(views.search_docs(spark, folder), q).select("id", "score", F.concat_ws(",", "reasons").alias("reasons"))
+    return views.lexical_index(spark, folder).search(q).select("id", "score", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 def fulltext_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return R.fulltext_search(views.search_docs(spark, folder), R.Query("ledger outline", limit=25)).select("id", "score")
+    return views.fulltext_index(spark, folder).fulltext(R.Query("ledger outline", limit=25)).select("id", "score")
 
 
 def index_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Document frequency and total count of every term."""
-    return R.postings(views.search_docs(spark, folder)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("boost").alias("boost"))
+    return views.lexical_index(spark, folder).terms()
 
 
 def index_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,14 +66,37 @@ def rrf_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def multi_query_merge(spark: SparkSession, folder: str) -> DataFrame:
-    docs = views.search_docs(spark, folder)
+    index = views.lexical_index(spark, folder)
     parts = []
     for text in ("ledger outline", "outline budget", "deep channel"):
-        hits = R.lexical_search(docs, R.Query(text, limit=30))
+        hits = index.search(R.Query(text, limit=30))
         parts.append(hits.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), "reasons"))
     return R.merge_responses(parts, 50).select("id", F.round("score", 9).alias("score"), F.size("reasons").cast("bigint").alias("n_reasons"))
 
 
+def _engine(spark: SparkSession, folder: str) -> Engine:
+    """Search whose queries' vectors are those of document 100, for want of a model."""
+    index = views.vector_index(spark, folder)
+    return Engine(views.lexical_index(spark, folder), index, lambda text: index.vectors.where("id = '100'").first().embedding)
+
+
+def _answer(found: R.Response) -> DataFrame:
+    return found.hits.select("id", "score", F.concat_ws(",", "reasons").alias("reasons"), F.lit(found.mode).alias("mode"), F.lit(found.truncated).alias("truncated"))
+
+
+def search_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return _answer(_engine(spark, folder).search(R.Query(_TEXT, limit=20), "lexical"))
+
+
+def search_semantic(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest Markdown documents."""
+    return _answer(_engine(spark, folder).search(R.Query(_TEXT, languages=("markdown",), limit=20), "semantic"))
+
+
+def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    return _answer(_engine(spark, folder).search(R.Query(_TEXT, limit=20), "hybrid"))
+
+
 def graph_expand(spark: SparkSession, folder: str) -> DataFrame:
     """Three hits spread over their neighbours."""
     hits = spark.createDataFrame([("s:1", 3.0, True), ("n:3", 2.0, True), ("c:7", 1.0, False)], "id string, score double, is_node boolean")
@@ -141,7 +165,7 @@ def induced_subgraph(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_filtered, fulltext_topk, index_terms, index_stats, dense_topk, vector_norms, rrf_topk, multi_query_merge, graph_expand, neighborhood, neighborhood_order, neighborhood_edges, impact, shortest_path, scc_transitions, scc_snapshots, degree_detail, induced_subgraph,
+        bm25_topk, bm25_filtered, fulltext_topk, index_terms, index_stats, dense_topk, vector_norms, rrf_topk, multi_query_merge, search_lexical, search_semantic, search_hybrid, graph_expand, neighborhood, neighborhood_order, neighborhood_edges, impact, shortest_path, scc_transitions, scc_snapshots, degree_detail, induced_subgraph,
     )
 }
 
@@ -207,6 +231,13 @@ ORACLE = {
     "rrf_topk": f"""{_LEX}, {_NEAR}, lx AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, 'lexical' AS channel FROM (SELECT id, score FROM hits ORDER BY score DESC, qualified_name || chr(0) || id LIMIT 51)),
 sm AS (SELECT CAST(id AS VARCHAR) AS id, row_number() OVER (ORDER BY score DESC, CAST(id AS VARCHAR)) AS rank, 'semantic' AS channel FROM (SELECT * FROM near WHERE query_id = 100 ORDER BY score DESC, id LIMIT 40))
 SELECT id, round(sum(1.0 / (60 + rank)) * 1000000) / 1000000 AS score, array_to_string(list_sort(list(channel || '_rank:' || rank)), ',') AS reasons FROM (SELECT * FROM lx UNION ALL SELECT * FROM sm) GROUP BY id ORDER BY score DESC, id LIMIT 60""",
+    "search_lexical": f"""{_LEX}, top AS (SELECT * FROM hits ORDER BY score DESC, qualified_name || chr(0) || id LIMIT 80) SELECT id, score, array_to_string(reasons, ',') AS reasons, 'lexical' AS mode, (SELECT count(*) FROM hits) > 20 AS truncated FROM top ORDER BY score DESC, qualified_name || chr(0) || id LIMIT 20""",
+    "search_semantic": f"""WITH {_NEAR}, hits AS (SELECT CAST(n.id AS VARCHAR) AS id, n.score FROM near n JOIN documents d ON d.doc_id = n.id WHERE n.query_id = 100 AND d.lang = 'markdown')
+SELECT id, score, 'dense_cosine' AS reasons, 'semantic' AS mode, (SELECT count(*) FROM hits) > 20 AS truncated FROM hits ORDER BY score DESC, id LIMIT 20""",
+    "search_hybrid": f"""{_LEX}, {_NEAR}, lx AS (SELECT id, row_number() OVER (ORDER BY score DESC, qualified_name || chr(0) || id) AS rank, 'lexical' AS channel FROM hits QUALIFY rank <= 80),
+sm AS (SELECT CAST(n.id AS VARCHAR) AS id, row_number() OVER (ORDER BY n.score DESC, CAST(n.id AS VARCHAR)) AS rank, 'semantic' AS channel FROM near n JOIN documents d ON d.doc_id = n.id WHERE n.query_id = 100 QUALIFY rank <= 80),
+fused AS (SELECT id, round(sum(1.0 / (60 + rank)) * 1000000) / 1000000 AS score, array_to_string(list_sort(list(channel || '_rank:' || rank)), ',') AS reasons FROM (SELECT * FROM lx UNION ALL SELECT * FROM sm) GROUP BY id)
+SELECT id, score, reasons, 'hybrid-rrf' AS mode, (SELECT count(*) FROM fused) > 20 AS truncated FROM fused ORDER BY score DESC, id LIMIT 20""",
     "multi_query_merge": f"""WITH {_index(_BOOST)}, {_plain('ledger outline', 'a', 30)}, {_plain('outline budget', 'b', 30)}, {_plain('deep channel', 'c', 30)}
 SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, CAST(len(list_distinct(flatten(list(list_append(reasons, 'q' || q))))) AS BIGINT) AS n_reasons FROM (SELECT *, 0 AS q FROM top_a UNION ALL SELECT *, 1 FROM top_b UNION ALL SELECT *, 2 FROM top_c) GROUP BY id ORDER BY sum(1.0 / (60 + rank)) DESC, id LIMIT 50""",
     "graph_expand": f"""WITH {GRAPH_SQL}, mv AS (SELECT DISTINCT * FROM (SELECT "from" AS a, "to" AS b FROM g_edges WHERE {_OK} UNION ALL SELECT "to", "from" FROM g_edges WHERE {_OK})),

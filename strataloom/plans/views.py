@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import EdgeIndex
+from ..operators.retrieval import FULLTEXT_BOOSTS
+from ..operators.search_index import LexicalIndex, VectorIndex
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import bare, latest, table
 
@@ -59,16 +62,36 @@ def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("id", F.concat_ws("|", "from", "kind", "to"))
 
 
-def edge_index(spark: SparkSession, folder: str) -> EdgeIndex:
-    """The stored index of ``graph_edges``, built once in an application."""
-    at = f"{ensure_checkpoint_dir(spark)}/strataloom-{spark.sparkContext.applicationId}/edges-{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+_BUILT: set[str] = set()
+
+
+def _stored(spark: SparkSession, folder: str, name: str, build: Callable[[str], object]) -> str:
+    """The folder of an index over a data folder, built once in an application, beside its checkpoints."""
+    at = f"{ensure_checkpoint_dir(spark)}/strataloom-{spark.sparkContext.applicationId}/{name}-{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
     if at not in _BUILT:
-        EdgeIndex.build(graph_edges(spark, folder), at)
+        build(at)
         _BUILT.add(at)
-    return EdgeIndex.load(spark, at)
+    return at
 
 
-_BUILT: set[str] = set()
+def edge_index(spark: SparkSession, folder: str) -> EdgeIndex:
+    """The stored index of ``graph_edges``."""
+    return EdgeIndex.load(spark, _stored(spark, folder, "edges", lambda at: EdgeIndex.build(graph_edges(spark, folder), at)))
+
+
+def lexical_index(spark: SparkSession, folder: str) -> LexicalIndex:
+    """The stored index of ``search_docs`` over all fields."""
+    return LexicalIndex.load(spark, _stored(spark, folder, "lexical", lambda at: LexicalIndex.build(search_docs(spark, folder), at)))
+
+
+def fulltext_index(spark: SparkSession, folder: str) -> LexicalIndex:
+    """The stored index of ``search_docs`` over titles, names, signatures and bodies."""
+    return LexicalIndex.load(spark, _stored(spark, folder, "fulltext", lambda at: LexicalIndex.build(search_docs(spark, folder), at, FULLTEXT_BOOSTS, bonuses=False)))
+
+
+def vector_index(spark: SparkSession, folder: str) -> VectorIndex:
+    """The stored index of the embeddings, which belong to the documents of the same ids."""
+    return VectorIndex.load(spark, _stored(spark, folder, "vectors", lambda at: VectorIndex.build(table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), at)))
 
 
 def search_docs(spark: SparkSession, folder: str) -> DataFrame:
