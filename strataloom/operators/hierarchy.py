@@ -8,14 +8,19 @@ number of descendants, path and cycle status.
    numpy to its *exit*: the topmost local ancestor and the distance to it.
 2. Fragment tops whose parent lies in another fragment form the quotient
    forest, with edge lengths and weights (rows below a top in its fragment).
-   It is solved by the same function.  A quotient that does not shrink is
-   solved by pointer doubling with joins, in a logarithmic number of rounds.
-3. Fragments are expanded: depths and paths add the top's, descendant counts
-   add the weights of the fragments that hang below a row.
-
-A cycle inside a fragment is found in step 1; a cycle through several
-fragments shows up as a cycle of the quotient, and step 3 marks the rows
-between the place where the preceding fragment of that cycle enters and the top.
+   Its leaves are folded into their parents at once, so a star leaves nothing
+   of itself, and the rest is solved by the same function.  Where a quotient
+   hardly shrinks, as locality is bad, coins choose who is laid beside its
+   parent next time, so that a part of every chain is contracted in each round.
+3. What the quotient tells of a fragment's tops, and the weights that hang
+   below its rows, are sent to the fragment, which expands its chains once
+   more: depths and paths add the top's, descendant counts the weights.
+
+Only the rows' ids and parents are moved: once into fragments and once to meet
+what is sent to them.  A cycle inside a fragment is found in step 1; a cycle
+through several fragments shows up as a cycle of the quotient, and step 3 marks
+the rows between the place where the preceding fragment of that cycle enters
+and the top.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -34,7 +39,8 @@ FINE, ON_CYCLE, INTO_CYCLE = 0, 1, 2
 #: As FINE, but the chain leaves the fragment above its top.
 LEAVES = 3
 
-_IN = "id string, parent string, elen bigint, weight bigint, loc string, label array<string>"
+#: So many fragment tops are broadcast to the rows that hold their parents; more meet them in a shuffle.
+MOST_TOPS = 100_000
 _DONE = "id string, root string, depth bigint, size bigint, status int, path array<string>"
 
 
@@ -105,138 +111,155 @@ def _solve_one(with_paths: bool):
     return run
 
 
-_CONTRACTED = "id string, frag int, parent string, elen bigint, weight bigint, label array<string>, top string, dist bigint, state int, below bigint, chain array<string>"
+_CONTRACTED = "id string, frag int, parent string, elen bigint, label array<string>, top string, dist bigint, state int, below bigint, top_below bigint, chain array<string>"
+
+
+def _local(pdf: pd.DataFrame, with_paths: bool):
+    """(positions, tops, distances, hops, states, chains) of a fragment."""
+    pos = _positions(pdf["id"], pdf["parent"])
+    top, dist, hops, state = _follow(pos, pdf["elen"].to_numpy())
+    leaves = (state == FINE) & pdf["parent"].notna().to_numpy()[top]
+    chain = _chains(pos, hops, state, pdf["label"].tolist()) if with_paths else [None] * len(pos)
+    return pos, top, dist, hops, np.where(leaves, LEAVES, state).astype(np.int32), chain
 
 
 def _contract(with_paths: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos = _positions(pdf["id"], pdf["parent"])
-        top, dist, hops, state = _follow(pos, pdf["elen"].to_numpy())
+    """Each partition is a fragment."""
+
+    def run(batches):
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
+        pos, top, dist, hops, state, chain = _local(pdf, with_paths)
+        below = _sums(pos, hops, np.where(state == LEAVES, FINE, state), pdf["weight"].to_numpy())
         ids = pdf["id"].to_numpy()
-        leaves = (state == FINE) & pdf["parent"].notna().to_numpy()[top]
-        total = _sums(pos, hops, state, pdf["weight"].to_numpy())
-        chain = _chains(pos, hops, state, pdf["label"].tolist()) if with_paths else [None] * len(pos)
-        return pd.DataFrame(
-            {
-                "id": ids, "frag": pdf["frag"], "parent": pdf["parent"], "elen": pdf["elen"], "weight": pdf["weight"], "label": pdf["label"],
-                "top": ids[top], "dist": dist, "state": np.where(leaves, LEAVES, state).astype(np.int32), "below": total, "chain": chain,
-            }
-        )
+        yield pd.DataFrame(
+            {"id": ids, "frag": pdf["frag"], "parent": pdf["parent"], "elen": pdf["elen"], "label": pdf["label"], "top": ids[top], "dist": dist, "state": state, "below": below, "top_below": below[top], "chain": chain}
+        )
 
     return run
 
 
+_MESSAGE = "frag int, id string, told boolean, q_root string, q_depth bigint, q_status int, q_path array<string>, hang bigint, enters int"
+
+
 def _expand(with_paths: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pos = _positions(pdf["id"], pdf["parent"])
-        _, _, hops, local = _follow(pos, pdf["elen"].to_numpy())
-        hanging = pdf["hang"].fillna(0).to_numpy(dtype=np.int64)
-        size = _sums(pos, hops, local, pdf["weight"].to_numpy() + hanging)
-        state = pdf["state"].to_numpy()
-        quotient = pdf["q_status"].fillna(FINE).to_numpy(dtype=np.int64)
+    def run(pdf: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        pos, top, dist, hops, state, chain = _local(pdf, with_paths)
+        ids = pdf["id"].to_numpy()
+        hanging, enters = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        root, depth, quotient = ids[top], np.zeros(n, dtype=np.int64), np.full(n, FINE, dtype=np.int64)
+        above: list = [None] * n
+        if len(sent):
+            at = pd.Index(pdf["id"]).get_indexer(sent["id"])
+            told = sent["told"].to_numpy(dtype=bool)
+            hung = ~told
+            hanging[at[hung]] = sent["hang"].to_numpy()[hung].astype(np.int64)
+            enters[at[hung]] = sent["enters"].to_numpy()[hung] > 0
+            of_top = {a: k for a, k in zip(at[told].tolist(), np.flatnonzero(told).tolist(), strict=True)}
+            row = np.array([of_top.get(t, -1) for t in top.tolist()])
+            known = row >= 0
+            q_root, q_depth, q_status = sent["q_root"].to_numpy(), sent["q_depth"].fillna(0).to_numpy(dtype=np.int64), sent["q_status"].fillna(FINE).to_numpy(dtype=np.int64)
+            root = np.where(known, q_root[row], root)
+            depth[known], quotient[known] = q_depth[row[known]], q_status[row[known]]
+            if with_paths:
+                paths = sent["q_path"].tolist()
+                above = [paths[k] if k >= 0 else None for k in row.tolist()]
+        size = _sums(pos, hops, np.where(state == LEAVES, FINE, state), pdf["weight"].to_numpy() + hanging)
         status = np.where(state == LEAVES, quotient, state)
-        enters = _marks(pos, pdf["enters"].fillna(0).to_numpy() > 0)
         # in a fragment on a global cycle only the rows above an entry are on it
-        status = np.where((state == LEAVES) & (quotient == ON_CYCLE), np.where(enters, ON_CYCLE, INTO_CYCLE), status)
+        marked = _marks(pos, enters)
+        status = np.where((state == LEAVES) & (quotient == ON_CYCLE), np.where(marked, ON_CYCLE, INTO_CYCLE), status)
         fine = status == FINE
-        depth = pdf["dist"].to_numpy() + pdf["q_depth"].fillna(0).to_numpy(dtype=np.int64)
-        root = np.where(pdf["q_root"].notna(), pdf["q_root"], pdf["top"])
-        path = [None] * len(pos)
-        if with_paths:
-            path = [(list(q) if q is not None else []) + list(c) if f and c is not None else None for q, c, f in zip(pdf["q_path"], pdf["chain"], fine, strict=True)]
-        return pd.DataFrame(
-            {"id": pdf["id"], "root": np.where(fine, root, None), "depth": np.where(fine, depth, -1), "size": size, "status": status.astype(np.int32), "path": path}
-        )
+        path = [(list(q) if q is not None else []) + list(c) if f and c is not None else None for q, c, f in zip(above, chain, fine, strict=True)] if with_paths else [None] * n
+        return pd.DataFrame({"id": ids, "root": np.where(fine, root, None), "depth": np.where(fine, dist + depth, -1), "size": size, "status": status.astype(np.int32), "path": path})
 
     return run
 
 
-def _doubling(nodes: DataFrame, n: int, with_paths: bool) -> DataFrame:
-    """The same result by pointer jumping; log2(n) rounds of joins at most."""
-    # A hop of round k leads 2^k links up. size_k of a row sums the weights of the rows fewer than 2^k links below.
-    state = cut(
-        nodes.select("id", F.col("parent").alias("jump"), F.when(F.col("parent").isNull(), 0).otherwise(F.col("elen")).alias("depth"), F.col("weight").alias("size"), F.coalesce("parent", "id").alias("root"), F.col("label").alias("path"))
+def _leader(level: int) -> Column:
+    """The id beside which a row is laid: its parent's where coins fall so, else its own."""
+    coin = lambda c: F.pmod(F.xxhash64(F.lit(level), c), F.lit(2))
+    beside = F.col("parent").isNotNull() & (coin(F.col("id")) == 0) & (coin(F.col("parent")) == 1)
+    return F.md5(F.when(beside, F.col("parent")).otherwise(F.col("id")))
+
+
+def _quotient(links: DataFrame, n: int, fragment_rows: int, with_paths: bool, level: int, most_tops: int) -> DataFrame:
+    """(id, root, depth, size, status, path) of all linked tops."""
+    met = cut(links.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.max(F.when(F.col("x_state") == FINE, F.col("x_below"))).alias("base")))
+    leaf = cut(links.join(met.select("id", F.lit(True).alias("inner")), "id", "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
+    folded = leaf.where(~F.col("inner") & F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.sum("weight").alias("folded"))
+    none = F.array().cast("array<string>")
+    forest = leaf.where("inner").select("id", "parent", "elen", "weight", "loc", "label").unionByName(
+        met.where(F.col("base").isNotNull()).select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("elen"), F.col("base").alias("weight"), F.lit("").alias("loc"), none.alias("label"))
     )
-    path = F.when(F.col("a.jump").isNull(), F.col("a.path")).otherwise(F.concat("b.path", "a.path")) if with_paths else F.lit(None).cast("array<string>")
-    for _ in range(math.ceil(math.log2(n + 1)) + 1):
-        if not state.where(F.col("jump").isNotNull()).take(1):
-            break
-        gains = state.where(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("id")).agg(F.sum("size").alias("gain"))
-        state = cut(
-            state.alias("a")
-            .join(state.select("id", "jump", "depth", "root", "path").alias("b"), F.col("a.jump") == F.col("b.id"), "left")
-            .join(gains.alias("g"), F.col("a.id") == F.col("g.id"), "left")
-            .select(
-                F.col("a.id"),
-                F.col("b.jump").alias("jump"),
-                (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
-                (F.col("a.size") + F.coalesce("g.gain", F.lit(0))).alias("size"),
-                F.coalesce("b.root", "a.root").alias("root"),
-                path.alias("path"),
-            )
-        )
-    # after n links every row that still has a way to go stands on a cycle
-    ring = state.where(F.col("jump").isNotNull()).select(F.col("jump").alias("id")).distinct().withColumn("ring", F.lit(1))
-    endless = F.col("jump").isNotNull()
-    return state.join(ring, "id", "left").select(
+    forest = cut(forest.join(folded, "id", "left").withColumn("weight", F.col("weight") + F.coalesce("folded", F.lit(0))).drop("folded"))
+    m = forest.count()
+    if m > n / 2:
+        forest = forest.withColumn("loc", _leader(level))
+    solved = cut(_solve(forest, m, fragment_rows, with_paths, level + 1, most_tops))
+    # a fold hangs below a row of the forest, or is a root itself
+    over = solved.select(F.col("id").alias("p_id"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), F.col("status").alias("p_status"), F.col("path").alias("p_path"))
+    folds = leaf.where(~F.col("inner")).join(F.broadcast(over) if m <= most_tops else over, F.col("parent") == F.col("p_id"), "left")
+    fine = F.coalesce("p_status", F.lit(FINE)) == FINE
+    ends = folds.select(
         "id",
-        F.when(~endless, F.col("root")).alias("root"),
-        F.when(endless, -1).otherwise(F.col("depth")).alias("depth"),
-        "size",
-        F.when(F.col("ring") == 1, ON_CYCLE).when(endless, INTO_CYCLE).otherwise(FINE).cast("int").alias("status"),
-        F.when(~endless, F.col("path")).alias("path"),
+        F.when(F.col("p_id").isNull(), F.col("id")).otherwise(F.col("p_root")).alias("root"),
+        F.when(F.col("p_id").isNull(), 0).when(fine, F.col("p_depth") + F.col("elen")).otherwise(-1).cast("bigint").alias("depth"),
+        F.col("weight").alias("size"),
+        F.when(fine, FINE).otherwise(INTO_CYCLE).cast("int").alias("status"),
+        (F.when(fine, F.concat(F.coalesce("p_path", none), F.coalesce("label", none))) if with_paths else F.lit(None).cast("array<string>")).alias("path"),
     )
+    return cut(solved.unionByName(ends))
 
 
-def _solve(nodes: DataFrame, fragment_rows: int, with_paths: bool) -> DataFrame:
-    """nodes: as _IN, checkpointed; parents all exist."""
-    n = nodes.count()
+def _solve(nodes: DataFrame, n: int, fragment_rows: int, with_paths: bool, level: int, most_tops: int) -> DataFrame:
+    """nodes: (id, parent, elen, weight, loc, label), with unique ids; a parent that is no id makes a root."""
     if n <= fragment_rows:
         return nodes.groupBy(F.lit(0).alias("_all")).applyInPandas(_solve_one(with_paths), _DONE)
     parts = math.ceil(n / fragment_rows)
-    placed = cut(nodes.repartitionByRange(parts, "loc", "id").withColumn("frag", F.spark_partition_id()))
-    local = cut(placed.groupBy("frag").applyInPandas(_contract(with_paths), _CONTRACTED))
-
-    tops = local.where((F.col("state") == LEAVES) & (F.col("id") == F.col("top")))
-    seen = local.select(F.col("id").alias("x_id"), F.col("top").alias("x_top"), F.col("dist").alias("x_dist"), F.col("state").alias("x_state"), F.col("chain").alias("x_chain"), F.col("frag").alias("x_frag"))
+    placed = cut(nodes.repartitionByRange(parts, "loc", "id").drop("loc").withColumn("frag", F.spark_partition_id()))
+    local = placed.mapInPandas(_contract(with_paths), _CONTRACTED)
+    tops = cut(local.where((F.col("state") == LEAVES) & (F.col("id") == F.col("top"))).select("id", "parent", "elen", F.col("below").alias("weight"), "label", "frag"))
+    few = tops.limit(most_tops + 1).count() <= most_tops
+    seen = local.select(F.col("id").alias("x_id"), F.col("top").alias("x_top"), F.col("dist").alias("x_dist"), F.col("state").alias("x_state"), F.col("top_below").alias("x_below"), F.col("chain").alias("x_chain"), F.col("frag").alias("x_frag"))
+    small = lambda df: F.broadcast(df) if few else df
+    found = cut(seen.join(small(tops.select(F.col("parent").alias("x_id")).distinct()), "x_id", "left_semi"))
+    leads = F.col("x_state").isin(FINE, LEAVES)
+    none = F.array().cast("array<string>")
     links = cut(
-        tops.join(seen, F.col("parent") == F.col("x_id"), "left").select(
+        tops.join(small(found), F.col("parent") == F.col("x_id"), "left").select(
             "id",
-            F.col("x_id"),
-            F.when(F.col("x_state").isin(FINE, LEAVES), F.col("x_top")).alias("parent"),
+            "frag",
+            "x_id",
+            "x_frag",
+            "x_state",
+            "x_below",
+            F.when(leads, F.col("x_top")).alias("parent"),
             (F.col("elen") + F.coalesce("x_dist", F.lit(0))).alias("elen"),
-            F.col("below").alias("weight"),
-            F.format_string("%010d", "x_frag").alias("loc"),
-            F.when(F.col("x_state").isin(FINE, LEAVES), F.coalesce("x_chain", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("label"),
-            (~F.col("x_state").isin(FINE, LEAVES)).alias("bad"),
+            "weight",
+            F.format_string("%010d", F.coalesce("x_frag", "frag")).alias("loc"),
+            (F.concat(F.when(leads, F.coalesce("x_chain", none)).otherwise(none)) if with_paths else none).alias("label"),
+            (F.col("x_id").isNotNull() & ~leads).alias("bad"),
         )
     )
-    if not links.take(1):
-        quotient = links.select(F.col("id").alias("top"), F.lit("").alias("q_root"), F.lit(0).cast("bigint").alias("q_depth"), F.lit(0).alias("q_status"), F.col("label").alias("q_path"))
-        hang = links.select(F.col("x_id").alias("id"), F.lit(0).cast("bigint").alias("hang"), F.lit(0).alias("enters"))
-    else:
-        met = links.where(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct()
-        bases = local.where((F.col("state") == FINE) & (F.col("id") == F.col("top"))).join(met, "id", "left_semi")
-        forest = links.select("id", "parent", "elen", "weight", "loc", "label").unionByName(
-            bases.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("elen"), F.col("below").alias("weight"), F.lit("").alias("loc"), F.array().cast("array<string>").alias("label"))
-        )
-        forest = cut(forest)
-        m = forest.count()
-        solved = _doubling(forest, m, with_paths) if m > fragment_rows and m > 0.7 * n else _solve(forest, fragment_rows, with_paths)
-        solved = cut(solved)
+    messages = placed.sparkSession.createDataFrame([], _MESSAGE)
+    if links.take(1):
+        solved = _quotient(links, n, fragment_rows, with_paths, level, most_tops)
         # below a top that ends in a local cycle everything leads into that cycle
-        bad = links.where("bad").select("id")
-        doomed = solved.join(bad.select(F.col("id").alias("root"), F.lit(1).alias("doomed")), "root", "left")
-        quotient = doomed.select(F.col("id").alias("top"), F.col("root").alias("q_root"), F.col("depth").alias("q_depth"), F.when(F.col("doomed") == 1, INTO_CYCLE).otherwise(F.col("status")).alias("q_status"), F.col("path").alias("q_path"))
-        hang = (
+        bad = links.where("bad").select(F.col("id").alias("root"), F.lit(1).alias("doomed"))
+        told = links.select("id", "frag").join(solved, "id").join(small(bad), "root", "left")
+        messages = told.select("frag", "id", F.lit(True).alias("told"), F.col("root").alias("q_root"), F.col("depth").alias("q_depth"), F.when(F.col("doomed") == 1, INTO_CYCLE).otherwise(F.col("status")).cast("int").alias("q_status"), F.col("path").alias("q_path"), F.lit(0).cast("bigint").alias("hang"), F.lit(0).alias("enters")).unionByName(
             links.where(F.col("parent").isNotNull())
-            .select("id", "x_id")
+            .select("id", "x_id", "x_frag")
             .join(solved.select("id", "size", "status"), "id")
-            .groupBy(F.col("x_id").alias("id"))
+            .groupBy(F.col("x_frag").alias("frag"), F.col("x_id").alias("id"))
             .agg(F.sum("size").alias("hang"), F.max(F.when(F.col("status") == ON_CYCLE, 1).otherwise(0)).alias("enters"))
+            .select("frag", "id", F.lit(False).alias("told"), F.lit(None).cast("string").alias("q_root"), F.lit(0).cast("bigint").alias("q_depth"), F.lit(FINE).alias("q_status"), F.lit(None).cast("array<string>").alias("q_path"), "hang", "enters")
         )
-    ready = local.join(quotient, "top", "left").join(hang, "id", "left")
-    return ready.groupBy("frag").applyInPandas(_expand(with_paths), _DONE)
+    return placed.groupBy("frag").cogroup(messages.groupBy("frag")).applyInPandas(_expand(with_paths), _DONE)
 
 
 def hierarchy(
@@ -246,6 +269,8 @@ def hierarchy(
     locality: str | Column | None = None,
     fragment_rows: int = 50_000,
     with_paths: bool = False,
+    unique: bool = False,
+    most_tops: int = MOST_TOPS,
 ) -> DataFrame:
     """Root, depth, descendants, path and cycle status of every id.
 
@@ -260,30 +285,17 @@ def hierarchy(
     gives no rows.  Other columns are ignored.
 
     *locality*: a column by which children lie near their parents (ids, times);
-    it only affects speed.  *fragment_rows* bounds what one task holds.
+    it only affects speed.  *fragment_rows* bounds what one task holds.  *unique*
+    tells that ids are distinct and not null already.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     loc = F.lit("") if locality is None else as_col(locality).cast("string")
-    rows = (
-        df.select(as_col(id_col).alias("id"), as_col(parent_col).alias("parent"), F.coalesce(loc, F.lit("")).alias("loc"))
-        .where(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.max(F.struct("parent", "loc")).alias("r"))
-        .select("id", "r.parent", "r.loc")
-    )
-    rows = cut(rows)
-    known = rows.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
-    nodes = cut(
-        rows.join(known, "parent", "left").select(
-            "id",
-            F.when(F.col("there"), F.col("parent")).alias("parent"),
-            F.lit(1).cast("bigint").alias("elen"),
-            F.lit(1).cast("bigint").alias("weight"),
-            "loc",
-            F.when(F.lit(with_paths), F.array("id")).alias("label"),
-        )
-    )
-    done = _solve(nodes, fragment_rows, with_paths)
+    rows = df.select(as_col(id_col).alias("id"), as_col(parent_col).alias("parent"), F.coalesce(loc, F.lit("")).alias("loc"))
+    if not unique:
+        rows = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("parent", "loc")).alias("r")).select("id", "r.parent", "r.loc")
+    one = F.lit(1).cast("bigint")
+    nodes = cut(rows.select("id", "parent", one.alias("elen"), one.alias("weight"), "loc", (F.array("id") if with_paths else F.lit(None).cast("array<string>")).alias("label")))
+    done = _solve(nodes, nodes.count(), fragment_rows, with_paths, 0, most_tops)
     fine = F.col("status") == FINE
     return done.select("id", "root", "depth", F.when(fine, F.col("size") - 1).otherwise(-1).alias("n_descendants"), "status", "path")
 
@@ -300,3 +312,22 @@ def descendants(paths: DataFrame) -> DataFrame:
         .where(F.col("at") < F.col("n") - 1)
         .select("id", "descendant", (F.col("n") - 1 - F.col("at")).cast("bigint").alias("distance"))
     )
+
+
+def intervals(tree: DataFrame, fragment_rows: int = 50_000) -> DataFrame:
+    """(id, root, first, last) of rows with a path: an id's descendants are the ids of the same root with a greater *first* up to its *last*.
+
+    The compact form of all pairs: as many rows as ids.  *first* is the place of
+    an id among the ids of its root in the order of their paths, *last* that of
+    its last descendant.  tree: the result of ``hierarchy`` with paths.
+    """
+    fine = tree.where(F.col("path").isNotNull()).select("id", "root", F.col("n_descendants"), F.array_join("path", "\x00").alias("way"))
+    parts = max(1, math.ceil(fine.count() / fragment_rows))
+    # numbered without a sort in one task: by ranges, with the sizes of the ranges before
+    ranged = cut(fine.repartitionByRange(parts, "root", "way").sortWithinPartitions("root", "way").select("id", "root", "n_descendants", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")))
+    inside = ranged.withColumn("n", F.col("n").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = inside.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # as many rows as ranges
+    numbered = inside.join(F.broadcast(before), "part").withColumn("place", F.col("before") + F.col("n"))
+    starts = numbered.groupBy("root").agg(F.min("place").alias("start"))
+    return numbered.join(starts, "root").select("id", "root", (F.col("place") - F.col("start")).alias("first"), (F.col("place") - F.col("start") + F.col("n_descendants")).alias("last"))

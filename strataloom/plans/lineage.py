@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.hierarchy import INTO_CYCLE, ON_CYCLE, descendants, hierarchy
+from ..operators.hierarchy import INTO_CYCLE, ON_CYCLE, descendants, hierarchy, intervals
 from ..operators.snapshot_changes import bare_digest, compare_lineage, fetch_values, index_rows
 from ..sources.tables import bare, latest, table
 
@@ -22,7 +22,7 @@ def snapshot_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    tree = hierarchy(snapshot_links(spark, folder), locality="locality")
+    tree = hierarchy(snapshot_links(spark, folder), locality="locality", unique=True)
     return tree.select(
         F.col("id").alias("snapshot_id"),
         F.coalesce("root", F.lit("")).alias("root_snapshot_id"),
@@ -33,16 +33,22 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
     """The path from the root of every snapshot, as one string."""
-    tree = hierarchy(snapshot_links(spark, folder), locality="locality", with_paths=True)
+    tree = hierarchy(snapshot_links(spark, folder), locality="locality", unique=True, with_paths=True)
     return tree.select(F.col("id").alias("snapshot_id"), F.concat_ws(">", "path").alias("path"), F.greatest(F.size("path"), F.lit(0)).cast("bigint").alias("path_length"))
 
 
 def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
     """All pairs of a snapshot and one below it."""
-    pairs = descendants(hierarchy(snapshot_links(spark, folder), locality="locality", with_paths=True))
+    pairs = descendants(hierarchy(snapshot_links(spark, folder), locality="locality", unique=True, with_paths=True))
     return pairs.select(F.col("id").alias("snapshot_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
+def p4_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """The descendants of every snapshot as an interval of places among the snapshots of its root."""
+    spans = intervals(hierarchy(snapshot_links(spark, folder), locality="locality", unique=True, with_paths=True))
+    return spans.select(F.col("id").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "first", "last")
+
+
 def _artifact_rows(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "artifacts").withColumn("version", bare("snapshot_id")).withColumn("content_sha256", bare_digest(F.col("content_sha256")))
 
@@ -112,6 +118,9 @@ SELECT id, '', CASE WHEN id IN (SELECT id FROM ring) THEN -1 ELSE -2 END, -1 FRO
     "p4_paths": f"""{_WALK_SQL}
 SELECT id AS snapshot_id, array_to_string(path, '>') AS path, CAST(len(path) AS BIGINT) AS path_length FROM down
 UNION ALL SELECT id, '', 0 FROM lost""",
+    "p4_intervals": f"""{_WALK_SQL},
+placed AS (SELECT id, root, row_number() OVER (PARTITION BY root ORDER BY array_to_string(path, chr(0))) - 1 AS first FROM down)
+SELECT id AS snapshot_id, root AS root_snapshot_id, first, CAST(first + coalesce(n, 0) AS BIGINT) AS last FROM placed LEFT JOIN below USING (id)""",
     "p4_descendants": f"""{_WALK_SQL}
 SELECT a AS snapshot_id, id AS descendant_id, CAST(len(path) - spot AS BIGINT) AS distance
 FROM (SELECT id, path, unnest(path[:-2]) AS a, unnest(range(1, len(path))) AS spot FROM down)""",
@@ -150,4 +159,4 @@ SELECT coalesce(n.v, o.v) AS snapshot_id, coalesce(n.key, o.key) AS path, CASE W
   coalesce(o.content_sha256, '') AS old_sha256, coalesce(n.content_sha256, '') AS new_sha256
 FROM n FULL OUTER JOIN o ON n.v = o.v AND n.key = o.key WHERE o.key IS NULL OR n.key IS NULL OR {" OR ".join(f"n.{c} <> o.{c}" for c in _VALUES)}"""
 
-QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p5_found": p5_found, "p5_artifact_values": p5_artifact_values}
+QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p4_intervals": p4_intervals, "p5_found": p5_found, "p5_artifact_values": p5_artifact_values}

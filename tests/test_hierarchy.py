@@ -46,24 +46,47 @@ def test_against_brute_force(spark, seed, n, cycles, rows):
     assert {r.id: (r.root, r.depth, r.n_descendants, r.status, r.path) for r in got} == brute(parent)
 
 
-def test_pointer_doubling(spark):
-    parent = forest(5, 90, 4)
-    known = {k: (p if p in parent else None) for k, p in parent.items()}
-    nodes = spark.createDataFrame([(k, p, 1, 1, "", [k]) for k, p in known.items()], H._IN)
-    got = {r.id: (r.root, r.depth, r.size - 1 if r.status == 0 else -1, r.status, r.path) for r in H._doubling(nodes, len(parent), True).collect()}
-    assert got == brute(parent)
+def scattered(parent):
+    """The same forest under names without locality."""
+    names = {k: f"{random.Random(k).random():.9f}" for k in parent}
+    return {names[k]: names.get(p, p) for k, p in parent.items()}
 
 
-def test_scattered_fragments_fall_back(spark):
-    # ids without locality: the quotient hardly shrinks
-    parent = forest(6, 70, 2)
-    names = {k: f"{random.Random(k).random():.9f}" for k in parent}
-    renamed = {names[k]: names.get(p, p) for k, p in parent.items()}
+STAR = {"hub": None} | {f"s{i:03d}": "hub" for i in range(90)} | {f"t{i}": f"s{i:03d}" for i in range(9)}
+CHAIN = {f"c{i:03d}": f"c{i - 1:03d}" if i else None for i in range(90)}
+RING = {f"r{i:03d}": f"r{(i + 1) % 60:03d}" for i in range(60)} | {f"q{i}": f"r{i:03d}" for i in range(20)}
+
+
+@pytest.mark.parametrize("name,parent", [("mixed", forest(6, 70, 2)), ("star", STAR), ("chain", CHAIN), ("ring", RING)])
+@pytest.mark.parametrize("most_tops", [0, 1000])
+def test_without_locality(spark, name, parent, most_tops):
+    renamed = scattered(parent)
     df = spark.createDataFrame(list(renamed.items()), "id string, parent string")
-    got = H.hierarchy(df, fragment_rows=5, with_paths=True).collect()
+    got = H.hierarchy(df, fragment_rows=12, with_paths=True, most_tops=most_tops).collect()
     assert {r.id: (r.root, r.depth, r.n_descendants, r.status, r.path) for r in got} == brute(renamed)
 
 
+def test_a_star_leaves_no_quotient(spark, monkeypatch):
+    sizes = []
+    solve = H._solve
+    monkeypatch.setattr(H, "_solve", lambda nodes, n, *rest: (sizes.append(n), solve(nodes, n, *rest))[1])
+    df = spark.createDataFrame(list(scattered(STAR).items()), "id string, parent string")
+    H.hierarchy(df, fragment_rows=12, unique=True).collect()
+    assert sizes[0] == len(STAR) and max(sizes[1:]) < 25
+
+
+def test_intervals(spark):
+    parent = forest(9, 80, 2)
+    tree = H.hierarchy(spark.createDataFrame(list(parent.items()), "id string, parent string"), with_paths=True)
+    spans = {r.id: r for r in H.intervals(tree, fragment_rows=11).collect()}
+    want = {k: v for k, v in brute(parent).items() if v[3] == 0}
+    assert set(spans) == set(want)
+    for a in want:
+        under = {k for k, v in want.items() if a in v[4][:-1]}
+        assert {k for k, r in spans.items() if r.root == spans[a].root and spans[a].first < r.first <= spans[a].last} == under
+    assert H.intervals(tree.limit(0)).collect() == []
+
+
 def test_edges(spark):
     rows = [("a", None, 1), ("a", None, 1), (None, "a", 2), ("self", "self", 3), ("b", "gone", 4), ("c", "a", 5), ("c", None, 6)]
     df = spark.createDataFrame(rows, "id string, parent string, depth int")
