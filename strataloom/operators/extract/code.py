@@ -25,17 +25,19 @@ def _visible(name: str) -> str:
 
 
 def python_symbols(doc_id, path: str | None, text: str | None):
-    """Modules, classes, functions, methods and tests, their imports, calls and bases. A file that doesn't parse gives only its module."""
+    """Modules, classes, functions, methods and tests, their imports, calls and bases. A call belongs to the innermost function around it. A file that doesn't parse gives only a diagnostic."""
     path, text = path or "", text or ""
     module = module_name(path)
     lines = text.count("\n") + 1
-    yield doc_id, "module", module.rpartition(".")[2], module, "", "public", 1, lines, None, None
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        at = min(getattr(e, "lineno", None) or 1, lines)
+        yield doc_id, "diagnostic", type(e).__name__, module, "", "public", at, at, None, None
         return
+    yield doc_id, "module", module.rpartition(".")[2], module, "", "public", 1, lines, None, None
     todo = [(tree, module, False)]
     while todo:
         at, scope, in_class = todo.pop()
@@ -44,7 +46,7 @@ def python_symbols(doc_id, path: str | None, text: str | None):
                 kind = "test" if x.name.startswith("test_") else "method" if in_class else "function"
                 full = f"{scope}.{x.name}"
                 yield doc_id, kind, x.name, full, f"{x.name}({ast.unparse(x.args)})", _visible(x.name), x.lineno, x.end_lineno, None, None
-                for c in ast.walk(x):
+                for c in _own(x):
                     if isinstance(c, ast.Call) and (target := _dotted(c.func)):
                         yield doc_id, None, None, full, None, None, c.lineno, c.end_lineno, "calls", target
                 todo.append((x, full, False))
@@ -64,6 +66,16 @@ def python_symbols(doc_id, path: str | None, text: str | None):
                 todo.append((x, scope, in_class))
 
 
+def _own(function: ast.AST):
+    """What stands in a function, but for what stands in functions within it."""
+    todo = [*ast.iter_child_nodes(function)]
+    while todo:
+        x = todo.pop()
+        yield x
+        if not isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
+            todo += ast.iter_child_nodes(x)
+
+
 def _dotted(x: ast.expr) -> str:
     parts = []
     while isinstance(x, ast.Attribute):

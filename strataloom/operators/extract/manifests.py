@@ -109,14 +109,17 @@ def secret_name(name: str) -> bool:
 
 
 def dotenv(doc_id, text: str):
-    """Variables by name, the first of each; values of secret-like names are redacted."""
+    """Variables by name, the first of each, with or without a value; values of secret-like names are redacted."""
     seen = set()
     for n, line in enumerate(text.split("\n"), 1):
-        m = re.match(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$", line)
-        if m and m.group(1) not in seen:
-            seen.add(m.group(1))
-            value = re.sub(r"^([\"'])(.*)\1$", r"\2", m.group(2))
-            yield doc_id, "environment_variable", m.group(1), "<redacted>" if secret_name(m.group(1)) and value else value, None, None, n
+        line = line.strip()
+        if not line or line[0] in "#;":
+            continue
+        name, _, value = line.removeprefix("export ").partition("=")
+        name, value = name.strip(), value.strip()
+        if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name) and name not in seen:
+            seen.add(name)
+            yield doc_id, "environment_variable", name, "<redacted>" if secret_name(name) and value else value, None, None, n
 
 
 class _StrictLoader(yaml.BaseLoader):

@@ -60,19 +60,20 @@ def _first_keys(c: str) -> Column:
 
 
 def merge_nodes(df: DataFrame) -> DataFrame:
-    """Evidence united; logical_id, signature and artifact_id from the first row that has one; public if any row is; first key wins in attributes; all else, even if empty, from the first row.
+    """Evidence united; logical_id, signature, source and artifact_id from the first row that has one; public if any row is; first key wins in attributes; all else, even if empty, from the first row.
 
-    df: (id, seq, logical_id, kind, name, qualified_name, signature, language, visibility, artifact_id, semantic_hash, public_surface boolean, evidence_ids, attributes map).
+    df: (id, seq, logical_id, kind, name, qualified_name, signature, language, visibility, artifact_id, source struct, semantic_hash, public_surface boolean, evidence_ids, attributes map) and any others.
     """
-    fixed = [c for c in ("kind", "name", "qualified_name", "language", "visibility", "semantic_hash") if c in df.columns]
-    late = [c for c in ("logical_id", "signature", "artifact_id") if c in df.columns]
-    aggs = [F.min(F.struct("seq", *fixed)).alias("f")] + [F.min(F.when(_filled(c).isNotNull(), F.struct("seq", F.col(c)))).alias(f"l_{c}") for c in late]
+    late = [c for c in ("logical_id", "signature", "source", "artifact_id") if c in df.columns]
+    fixed = [c for c in df.columns if c not in ("id", "seq", "public_surface", "evidence_ids", "attributes", *late)]
+    filled = lambda c: F.col(c).isNotNull() if c == "source" else _filled(c).isNotNull()
+    aggs = [F.min_by(F.struct("seq", *fixed), F.col("seq")).alias("f")] + [F.min_by(F.col(c), F.when(filled(c), F.col("seq"))).alias(f"l_{c}") for c in late]
     aggs += [F.bool_or(F.coalesce("public_surface", F.lit(False))).alias("public_surface")] if "public_surface" in df.columns else []
     aggs += [_union("evidence_ids").alias("evidence_ids")] if "evidence_ids" in df.columns else []
     aggs += [_first_keys("attributes").alias("attributes")] if "attributes" in df.columns else []
     out = df.groupBy("id").agg(*aggs)
     more = [c for c in ("public_surface", "evidence_ids", "attributes") if c in df.columns]
-    return out.select("id", *[F.col(f"f.{c}").alias(c) for c in fixed], *[F.col(f"l_{c}.{c}").alias(c) for c in late], *more)
+    return out.select("id", *[F.col(f"f.{c}").alias(c) for c in fixed], *[F.col(f"l_{c}").alias(c) for c in late], *more)
 
 
 def edge_ids(df: DataFrame, prefix: str = "rec") -> DataFrame:
@@ -81,12 +82,14 @@ def edge_ids(df: DataFrame, prefix: str = "rec") -> DataFrame:
 
 
 def merge_edges(df: DataFrame) -> DataFrame:
-    """Evidence united; resolution, confidence and producer from the row with the highest resolution, the first among equals."""
+    """Evidence united; resolution, confidence and producer from the row with the highest resolution, the first among equals; first key wins in attributes; all else from the first row."""
     best = [c for c in ("resolution", "confidence", "producer") if c in df.columns]
-    aggs = [F.min(F.struct("seq", "kind", "from", "to")).alias("f"), F.min(F.struct((-resolution_rank(F.col("resolution"))).alias("r"), "seq", *best)).alias("b")]
+    fixed = [c for c in df.columns if c not in ("id", "seq", "evidence_ids", "attributes", *best)]
+    aggs = [F.min_by(F.struct("seq", *fixed), F.col("seq")).alias("f"), F.min(F.struct((-resolution_rank(F.col("resolution"))).alias("r"), "seq", *best)).alias("b")]
     aggs += [_union("evidence_ids").alias("evidence_ids")] if "evidence_ids" in df.columns else []
+    aggs += [_first_keys("attributes").alias("attributes")] if "attributes" in df.columns else []
     out = df.groupBy("id").agg(*aggs)
-    return out.select("id", *[F.col(f"f.{c}").alias(c) for c in ("kind", "from", "to")], *[F.col(f"b.{c}").alias(c) for c in best], *(["evidence_ids"] if "evidence_ids" in df.columns else []))
+    return out.select("id", *[F.col(f"f.{c}").alias(c) for c in fixed], *[F.col(f"b.{c}").alias(c) for c in best], *[c for c in ("evidence_ids", "attributes") if c in df.columns])
 
 
 def mark_parsed(artifacts: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -14,14 +14,19 @@ def ordinals(df: DataFrame, family: str, key: str) -> DataFrame:
     return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(family).orderBy(key)) - 1)
 
 
+#: Levels that a heading may have.
+LEVELS = 6
+
+
 def parent_headings(headings: DataFrame) -> DataFrame:
     """(doc_id, ordinal, level, parent): the ordinal of the nearest heading before with a smaller level; null below the document itself.
 
-    The headings before one are those of its own document.
+    Levels count from 1 to LEVELS.  Of the headings before one the last of each
+    level is kept, whatever their number.
     """
     before = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct("ordinal", "level")).over(before)
-    return headings.withColumn("parent", F.array_max(F.filter(seen, lambda x: x["level"] < F.col("level")))["ordinal"])
+    last = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("ordinal")), ignorenulls=True).over(before)) for k in range(1, LEVELS)]
+    return headings.withColumn("parent", F.greatest(*last))
 
 
 def unique_anchors(headings: DataFrame) -> DataFrame:

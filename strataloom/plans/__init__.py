@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, files, lineage, search
+from . import catalogue, files, fixtures, lineage, search
 
-_MODULES = (lineage, catalogue, search, files)
+_MODULES = (lineage, catalogue, search, files, fixtures)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

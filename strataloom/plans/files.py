@@ -113,9 +113,11 @@ def manifest_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dotenv_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """Variables of dotenv files: the first of each name."""
-    rows = manifests.manifest_table(_docs(spark, folder).where(F.col("path").endswith(".env")))
-    return rows.where(F.col("kind") == "environment_variable").select("doc_id", "name", "line")
+    """Variables of the dotenv files of each snapshot: the first of each name, by path and line."""
+    files = _docs(spark, folder).where(F.col("path").endswith(".env"))
+    rows = manifests.manifest_table(files).where(F.col("kind") == "environment_variable").select("doc_id", "name", "line")
+    placed = rows.join(files.select("doc_id", bare("snapshot_id").alias("snapshot_id"), "path"), "doc_id")
+    return placed.groupBy("snapshot_id", "name").agg(F.min(F.struct("path", "line", "doc_id")).alias("f")).select("snapshot_id", "name", "f.path", "f.line", "f.doc_id")
 
 
 def pattern_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,8 +209,9 @@ k AS (SELECT *, lag(sequence) OVER v AS ps, lag(d) OVER v AS pd FROM (SELECT * F
 SELECT run_id, sequence, CASE WHEN sequence <> coalesce(ps + 1, 1) THEN 'gap' ELSE 'broken' END AS problem FROM k WHERE sequence <> coalesce(ps + 1, 1) OR p <> coalesce(pd, '')""",
     "enclosing_symbols": f"""WITH {VIEWS_SQL}, n AS (SELECT snapshot_id || '/' || artifact_id AS doc_id, node_id AS id, start_line AS s, end_line AS e, CAST(floor((start_line + end_line) / 2) AS BIGINT) AS line FROM v_nodes WHERE artifact_id IS NOT NULL AND start_line IS NOT NULL)
 SELECT o.doc_id, o.id AS occurrence, coalesce(arg_min(d.id, (d.e - d.s, d.s, d.id)), '') AS symbol FROM n o LEFT JOIN n d ON d.doc_id = o.doc_id AND d.s <= o.line AND o.line <= d.e GROUP BY o.doc_id, o.id""",
-    "dotenv_keys": r"""WITH l AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE ends_with(path, '.env')))
-SELECT doc_id, name, min(n) AS line FROM (SELECT doc_id, n, regexp_extract(line, '^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=', 1) AS name FROM l) WHERE name <> '' GROUP BY doc_id, name""",
+    "dotenv_keys": r"""WITH l AS (SELECT doc_id, lower(trim(snapshot_id)) AS snapshot_id, path, trim(unnest(x), E' \t\r') AS line, unnest(range(1, len(x) + 1)) AS n FROM (SELECT doc_id, snapshot_id, path, string_split(text, chr(10)) AS x FROM documents WHERE ends_with(path, '.env'))),
+k AS (SELECT doc_id, snapshot_id, path, n, trim(split_part(CASE WHEN starts_with(line, 'export ') THEN line[8:] ELSE line END, '=', 1), E' \t\r') AS name FROM l WHERE line <> '' AND left(line, 1) NOT IN ('#', ';'))
+SELECT snapshot_id, name, path, n AS line, doc_id FROM k WHERE regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') QUALIFY row_number() OVER (PARTITION BY snapshot_id, name ORDER BY path, n, doc_id) = 1""",
     "json_props": "SELECT event_type, count(*) AS n, CAST(coalesce(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS total, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type",
     "sarif_results": f"""WITH {VIEWS_SQL}, r AS (SELECT code, arg_min(message, (diagnostic_id, message)) AS rule FROM v_diagnostics GROUP BY code)
 SELECT code, CASE WHEN severity IN ('fatal', 'error') THEN 'error' WHEN severity = 'warning' THEN 'warning' ELSE 'note' END AS level, count(*) AS n, any_value(rule) AS rule FROM v_diagnostics JOIN r USING (code) GROUP BY 1, 2""",

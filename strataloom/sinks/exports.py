@@ -52,11 +52,15 @@ def sarif_results(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.select("id", F.to_json(result).alias("result"))
 
 
-def _write_wrapped(spark: SparkSession, head: str, body: DataFrame, tail: str, path: str) -> None:
-    """Lines of *body* (order, line) between a head and a tail, in one globally ordered text output."""
-    ends = spark.createDataFrame([(-1, "", head), (1, "", tail)], "part int, order string, value string")
-    full = body.select(F.lit(0).alias("part"), F.col("order").cast("string").alias("order"), F.col("line").alias("value")).unionByName(ends)
-    full.orderBy("part", "order").select("value").write.mode("overwrite").text(path)
+def _write_wrapped(spark: SparkSession, head: str, body: DataFrame, tail: str, path: str, ordered: bool = False) -> None:
+    """Lines of *body* (order, line) between a head and a tail: the first and the last file of the output, with the body's partitions between them, sorted by ranges if *ordered*."""
+    if ordered:
+        ends = spark.createDataFrame([(-1, "", head), (1, "", tail)], "part int, order string, value string")
+        full = body.select(F.lit(0).alias("part"), F.col("order").cast("string").alias("order"), F.col("line").alias("value")).unionByName(ends)
+        full.orderBy("part", "order").select("value").write.mode("overwrite").text(path)
+        return
+    end = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    end(head).union(body.select(F.col("line").alias("value"))).union(end(tail)).write.mode("overwrite").text(path)
 
 
 def write_sarif(diagnostics: DataFrame, path: str, tool: str = "strataloom") -> None:
@@ -69,7 +73,7 @@ def write_sarif(diagnostics: DataFrame, path: str, tool: str = "strataloom") ->
     first = results.agg(F.min("id").alias("first")).scalar()
     lines = results.select(F.col("id").alias("order"), F.concat(F.when(F.col("id") == first, "").otherwise(","), "result").alias("line"))
     head = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}","rules":[{listed or ""}]}}}},"results":['
-    _write_wrapped(spark, head, lines, "]}]}", path)
+    _write_wrapped(spark, head, lines, "]}]}", path, ordered=True)  # the first result has no comma before it
 
 
 def xml_text(c: Column) -> Column:

@@ -49,7 +49,9 @@ def test_code():
     rows = list(code.python_symbols(1, "pkg/__init__.py", py))
     assert {(r[1], r[3]) for r in rows if r[1]} == {("module", "pkg"), ("class", "pkg.K"), ("method", "pkg.K.m"), ("test", "pkg.test_it")}
     assert {(r[8], r[9]) for r in rows if r[8]} == {("imports", "a.b"), ("imports", "."), ("inherits", "Base"), ("calls", "y.z")}
-    assert [r[1] for r in code.python_symbols(1, "x.py", "def (")] == ["module"]
+    assert [r[1] for r in code.python_symbols(1, "x.py", "def (")] == ["diagnostic"]
+    nested = list(code.python_symbols(1, "x.py", "def f():\n    a()\n    def g():\n        b(c())\n    return g\n"))
+    assert {(r[3], r[9]) for r in nested if r[8]} == {("x.f", "a"), ("x.f.g", "b"), ("x.f.g", "c")}
     go = 'package p\n\nimport (\n\t"fmt"\n)\n\n// func no() {}\ntype T struct {}\nfunc (t *T) Run(a int) error { return nil }\nfunc helper() {}\nconst C = 1\n'
     assert {(r[1], r[3], r[5]) for r in code.go_symbols(1, "p.go", go) if r[1]} == {("package", "p", "public"), ("class", "p.T", "public"), ("method", "p.T.Run", "public"), ("function", "p.helper", "private"), ("constant", "p.C", "public")}
     assert [r[9] for r in code.go_symbols(1, "p.go", go) if r[8]] == ["fmt"]

@@ -20,9 +20,11 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_without_twin(spark, name):
+    """Rows as named, and the same in every run: nothing depends on where rows lie."""
     df = QUERIES[name](spark, FOLDER)
     cols, rows = rows_of(df)
-    assert cols == sorted(df.columns) and sum(rows.values()) >= 0
+    assert cols == sorted(df.columns) and rows_of(QUERIES[name](spark, FOLDER)) == (cols, rows)
+    assert rows or name in ("doc_links",)  # the smallest folder has no links between its documents
 
 
 @pytest.mark.parametrize("name", ["bm25_topk", "neighborhood", "p4_found", "p5_found", "semantic_diff", "text_packs"])
